@@ -165,3 +165,62 @@ def morgan_fingerprint(
         return out
 
     return folded(F.col(f"{mol}.atoms"), F.col(f"{mol}.bonds"))
+
+
+# --- the same two hash steps as Catalyst expressions -------------------------
+
+_MASK = (1 << 32) - 1
+
+
+def combine_column(seed: Column, value: Column) -> Column:
+    """:func:`combine` on bigint columns holding unsigned 32-bit values."""
+    added = (value + int(GOLDEN) + F.shiftleft(seed, 6) + F.shiftright(seed, 2)).bitwiseAND(F.lit(_MASK))
+    return seed.bitwiseXOR(added)
+
+
+def _times(x: Column, factor: int) -> Column:
+    # 16-bit halves keep every product inside a signed 64-bit integer
+    high = (x * (factor >> 16)).bitwiseAND(F.lit(0xFFFF))
+    return (x * (factor & 0xFFFF) + F.shiftleft(high, 16)).bitwiseAND(F.lit(_MASK))
+
+
+def mix_column(x: Column) -> Column:
+    """:func:`mix` on a bigint column holding unsigned 32-bit values."""
+    x = _times(x.bitwiseXOR(F.shiftright(x, 16)), int(MIX_1))
+    x = _times(x.bitwiseXOR(F.shiftright(x, 13)), int(MIX_2))
+    return x.bitwiseXOR(F.shiftright(x, 16))
+
+
+def collision_report(hashes: str, sizes=(256, 512, 1024, 2048, 4096)) -> Column:
+    """Per folded size: features, bits set and collisions."""
+    def entry(n):
+        n_set = F.size(F.array_distinct(F.transform(F.col(hashes), lambda h: h % n)))
+        return F.struct(
+            F.lit(n).alias("n_bits"), F.size(hashes).alias("features"), n_set.alias("bits_set"),
+            (F.size(hashes) - n_set).alias("collisions"),
+        )
+
+    return F.array(*[entry(n) for n in sizes])
+
+
+def atom_pairs(mol: str) -> Column:
+    """Atom-pair features ``z_low * 1000000 + z_high * 1000 + distance`` of all
+    pairs of connected atoms, sorted and distinct."""
+    from .graph import distance_matrix
+
+    d = distance_matrix(mol)
+    return F.array_sort(
+        F.array_distinct(
+            F.flatten(
+                F.transform(
+                    d,
+                    lambda row, i: F.transform(
+                        F.filter(F.sequence(F.lit(0), F.size(row) - 1), lambda j: (j > i) & (F.get(row, j) > 0)),
+                        lambda j: F.least(F.get(F.col(f"{mol}.atoms"), i).z, F.get(F.col(f"{mol}.atoms"), j).z) * 1000000
+                        + F.greatest(F.get(F.col(f"{mol}.atoms"), i).z, F.get(F.col(f"{mol}.atoms"), j).z) * 1000
+                        + F.get(row, j),
+                    ),
+                )
+            )
+        )
+    )

@@ -1 +1,6 @@
 """Registered queries and the data they run on."""
+
+from . import chemistry  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
