@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bits import popcount
+from .once import with_once
+
 # Fixed values of the hash functions.
 GOLDEN = np.uint32(0x9E3779B9)
 MIX_1 = np.uint32(0x85EBCA6B)
@@ -167,6 +170,12 @@ def morgan_fingerprint(
     return folded(F.col(f"{mol}.atoms"), F.col(f"{mol}.bonds"))
 
 
+def fingerprint_table(df: DataFrame, ident: str = "id", mol: str = "mol", **options) -> DataFrame:
+    """(id, fp, popcnt) of the rows that have a molecule."""
+    rows = df.where(F.col(mol).isNotNull()).select(F.col(ident).alias("id"), morgan_fingerprint(mol, **options).alias("_fp"))
+    return with_once(rows, "fp", F.col("_fp")).select("id", "fp", popcount("fp").alias("popcnt"))
+
+
 # --- the same two hash steps as Catalyst expressions -------------------------
 
 _MASK = (1 << 32) - 1

@@ -25,6 +25,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .elements import SYMBOLS, VALENCES, Z
+from .once import with_once
 
 # Bond order codes: 1 single, 2 double, 3 triple, 4 quadruple, 5 aromatic.
 AROMATIC = 5
@@ -333,7 +334,7 @@ def parse_smiles(column: str) -> Column:
 def with_molecule(df, column: str = "smiles"):
     """Add ``mol`` and ``error`` columns for a SMILES column."""
     return (
-        df.withColumn("_parsed", parse_smiles(column))
+        with_once(df, "_parsed", parse_smiles(column))
         .withColumns({"mol": F.col("_parsed.mol"), "error": F.col("_parsed.error")})
         .drop("_parsed")
     )

@@ -171,32 +171,32 @@ def multi_topk_search(db: DataFrame, queries: DataFrame, k: int, reach: float =
     return _rank(pairs.select("query_id", "id", _pair_score().alias("score")), k)
 
 
-def similarity_matrix(db: DataFrame, queries: DataFrame, max_queries: int = 1_024) -> DataFrame:
+def similarity_matrix(db: DataFrame, queries: DataFrame, pack: int = 256, copies: int = 32) -> DataFrame:
     """(query_id, id, score) for every query and row, zero scores included.
 
-    The answer has |queries| x |db| rows, so the query side must be small: it
-    is checked, packed into one array and scored inside each database row
-    without a join.  Larger query sets are answered by
-    :func:`sparse_matrix`, which leaves the zeros out.
+    The answer has |queries| x |db| rows by definition; :func:`sparse_matrix`
+    leaves the zeros out.  Queries travel in packs of about ``pack``
+    fingerprints; each database row meets each pack once and scores it as an
+    array.  Few packs are broadcast; many are shuffled, with the database cut
+    into ``copies`` parts per pack.
     """
-    if not is_small(queries, max_queries):
-        raise ValueError(f"more than {max_queries} queries; use sparse_matrix")
-    packed = queries.agg(F.collect_list(F.struct("id", "fp", "popcnt"))).scalar()
-    return (
-        db.select(
-            "id",
-            F.explode(
-                F.transform(
-                    packed,
-                    lambda q: F.struct(
-                        q.id.alias("query_id"),
-                        B.tanimoto_counts(B.intersection("fp", q.fp), F.col("popcnt"), q.popcnt).alias("score"),
-                    ),
-                )
-            ).alias("hit"),
-        )
-        .select("hit.query_id", "id", "hit.score")
+    n = queries.count()
+    packs = max(-(-n // pack), 1)
+    packed = queries.groupBy(F.pmod(F.xxhash64("id"), F.lit(packs)).cast("int").alias("pack")).agg(
+        F.collect_list(F.struct("id", "fp", "popcnt")).alias("qs")
     )
+    rows = db.select("id", "fp", "popcnt", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))).alias("pack"))
+    if n <= MAX_SHIPPED_QUERIES:
+        met = rows.join(F.broadcast(packed), "pack")
+    else:
+        spread = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        met = _spread(rows, copies).join(spread, ["pack", "part"])
+
+    def score(q):
+        common = B.intersection("fp", q.fp)
+        return F.struct(q.id.alias("query_id"), B.tanimoto_counts(common, F.col("popcnt"), q.popcnt).alias("score"))
+
+    return met.select("id", F.explode(F.transform("qs", score)).alias("hit")).select("hit.query_id", "id", "hit.score")
 
 
 def _bit_rows(df: DataFrame) -> DataFrame:

@@ -250,8 +250,8 @@ def ring_count(spark, sf):
  turn(mol_id, a, b, idx, d) AS (SELECT mol_id, a, b, a, 0 FROM rb UNION SELECT t.mol_id, t.a, t.b, e.nbr, t.d + 1 FROM turn t
    JOIN ends e ON e.mol_id = t.mol_id AND e.idx = t.idx AND NOT (t.idx = t.a AND e.nbr = t.b) AND NOT (t.idx = t.b AND e.nbr = t.a) AND e.ring WHERE t.d < 10),
  cyc AS (SELECT mol_id, a, b, min(d) + 1 AS n FROM turn WHERE idx = b GROUP BY ALL),
- at AS (SELECT mol_id, a AS idx, n FROM cyc UNION ALL SELECT mol_id, b, n FROM cyc)
- SELECT a.mol_id, a.idx, CAST(coalesce(min(n), 0) AS INT) AS ring_size FROM atoms a LEFT JOIN at ON at.mol_id = a.mol_id AND at.idx = a.idx GROUP BY ALL""")
+ ring_at AS (SELECT mol_id, a AS idx, n FROM cyc UNION ALL SELECT mol_id, b, n FROM cyc)
+ SELECT a.mol_id, a.idx, CAST(coalesce(min(n), 0) AS INT) AS ring_size FROM atoms a LEFT JOIN ring_at ON ring_at.mol_id = a.mol_id AND ring_at.idx = a.idx GROUP BY ALL""")
 def smallest_ring_size(spark, sf):
     m = T.molecules(spark, sf).where("mol IS NOT NULL")
     return m.select("mol_id", F.posexplode(G.smallest_ring_size("mol")).alias("idx", "ring_size"))
@@ -511,7 +511,7 @@ def hash_mix(spark, sf):
 
 def _hash_rows(spark, sf, **options):
     m = _parsed(spark, sf).select("mol_id", M.morgan_hashes("mol", **options).alias("h"))
-    return m.select("mol_id", F.explode("h").alias("hash"))
+    return m.select("mol_id", F.explode_outer("h").alias("hash")).where("hash IS NOT NULL")
 
 
 @query("f03_ecfp_invariants", f"{_G}, {morgan_cte(0)} SELECT DISTINCT mol_id, h::BIGINT AS hash FROM layers")
@@ -544,7 +544,8 @@ def morgan_options(spark, sf):
 @query("f08_morgan_counts", f"{_M} SELECT mol_id, h::BIGINT AS hash, count(*) AS n FROM layers GROUP BY ALL")
 def morgan_counts(spark, sf):
     m = _parsed(spark, sf).select("mol_id", M.morgan_counts("mol").alias("c"))
-    return m.select("mol_id", F.explode("c").alias("hash", "n")).withColumn("n", F.col("n").cast("bigint"))
+    rows = m.select("mol_id", F.explode_outer("c").alias("hash", "n")).where("hash IS NOT NULL")
+    return rows.withColumn("n", F.col("n").cast("bigint"))
 
 
 @query("f09_collision_report", f"""{_M} SELECT mol_id, n_bits, count(DISTINCT h) AS features, count(DISTINCT h % n_bits) AS bits_set, count(DISTINCT h) - count(DISTINCT h % n_bits) AS collisions
@@ -591,8 +592,7 @@ _LIBSQL = f"""WITH {graph_cte(source=_LIB)}, {morgan_cte()},
 
 def library(spark, sf):
     """(id, fp, popcnt) of every molecule that parses."""
-    m = _parsed(spark, sf).select(F.col("mol_id").alias("id"), M.morgan_fingerprint("mol").alias("fp"))
-    return m.withColumn("popcnt", B.popcount("fp"))
+    return M.fingerprint_table(_parsed(spark, sf).withColumnRenamed("mol_id", "id"))
 
 
 def query_words(spark, smiles: str):

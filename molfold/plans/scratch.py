@@ -1,0 +1,20 @@
+"""Folder for files that queries write and read back."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder named by ``spark.checkpoint.dir``.
+
+    Only where that is unset (local runs) is a temporary folder used.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="molfold-")
+    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")

@@ -47,7 +47,7 @@ _CHARGES = (
         "v",
         "IF(size(v) < 3, cast(array() as array<struct<i:int,q:int>>), "
         "transform(sequence(1, least(cast(v[0] as int), (size(v) - 1) div 2)), "
-        "k -> named_struct('i', cast(v[2 * k - 1] as int), 'q', cast(v[2 * k] as int)))))",
+        "k -> named_struct('i', cast(v[2 * k - 1] as int), 'q', cast(v[2 * k] as int))))",
     )
     + "))"
 )
