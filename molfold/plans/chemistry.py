@@ -214,7 +214,7 @@ def shortest_paths(spark, sf):
 
 @query("g02_distance_matrix", f"""{_GR}, {_WALK.format(where='')} SELECT mol_id, s AS i, list(d ORDER BY idx) AS distances FROM
   (SELECT a.mol_id, a.idx AS s, b.idx, CAST(coalesce(d, -1) AS INT) AS d FROM atoms a JOIN atoms b ON a.mol_id = b.mol_id
-   LEFT JOIN dist ON dist.mol_id = a.mol_id AND dist.s = a.idx AND dist.idx = b.idx) GROUP BY ALL""")
+   LEFT JOIN dist ON dist.mol_id = a.mol_id AND dist.s = a.idx AND dist.idx = b.idx) GROUP BY ALL""", arrays=("distances",))
 def distance_matrix(spark, sf):
     m = T.molecules(spark, sf).where("mol IS NOT NULL")
     return m.select("mol_id", F.posexplode(G.distance_matrix("mol")).alias("i", "distances"))
@@ -529,13 +529,13 @@ def morgan_hashes(spark, sf):
     return _hash_rows(spark, sf)
 
 
-@query("f06_morgan_fingerprint", f"{_M} SELECT mol_id, list(DISTINCT (h % 2048)::INT ORDER BY (h % 2048)::INT) AS bits, count(DISTINCT h % 2048) AS popcnt FROM layers GROUP BY mol_id")
+@query("f06_morgan_fingerprint", f"{_M} SELECT mol_id, list(DISTINCT (h % 2048)::INT ORDER BY (h % 2048)::INT) AS bits, count(DISTINCT h % 2048) AS popcnt FROM layers GROUP BY mol_id", arrays=("bits",))
 def morgan_fingerprint(spark, sf):
     m = _parsed(spark, sf).select("mol_id", M.morgan_fingerprint("mol").alias("fp"))
     return m.select("mol_id", B.on_bits("fp").alias("bits"), B.popcount("fp").cast("bigint").alias("popcnt"))
 
 
-@query("f07_morgan_options", f"{_G}, {morgan_cte(3, _ECFP_CHIRAL)} SELECT mol_id, list(DISTINCT (h % 512)::INT ORDER BY (h % 512)::INT) AS bits FROM layers GROUP BY mol_id")
+@query("f07_morgan_options", f"{_G}, {morgan_cte(3, _ECFP_CHIRAL)} SELECT mol_id, list(DISTINCT (h % 512)::INT ORDER BY (h % 512)::INT) AS bits FROM layers GROUP BY mol_id", arrays=("bits",))
 def morgan_options(spark, sf):
     m = _parsed(spark, sf).select("mol_id", M.morgan_fingerprint("mol", radius=3, n_bits=512, chirality=True).alias("fp"))
     return m.select("mol_id", B.on_bits("fp").alias("bits"))

@@ -146,17 +146,18 @@ def _structures(spark, sf):
 
 
 _SDF = f"""{_G}, {_ELEMENTS}, za AS (SELECT mol_id, list(z::INT ORDER BY idx) AS zs, sum(idx * 1.5)::DOUBLE AS sx, sum(z / 4.0)::DOUBLE AS sz FROM atoms GROUP BY 1),
- bo AS (SELECT mol_id, list(struct_pack(a := a::INT, b := b::INT, o := ord::INT) ORDER BY a, b) AS bs FROM bonds GROUP BY 1)
+ bo AS (SELECT mol_id, list(a || '-' || b || '-' || ord ORDER BY a, b) AS bs FROM bonds GROUP BY 1)
  SELECT smiles AS name, zs, sx, sz, coalesce(bs, []) AS bs, s.mol_id::VARCHAR AS id, 'line one' || chr(10) || 'key ' || s.mol_id AS note FROM smi s JOIN za ON za.mol_id = s.mol_id LEFT JOIN bo ON bo.mol_id = s.mol_id"""
 
 
-@query("io11_sdf_scan", _SDF)
+@query("io11_sdf_scan", _SDF, arrays=("zs", "bs",))
 def sdf_scan(spark, sf):
     path = scratch_path(spark, "sdf")
     sdf.write_sdf(_structures(spark, sf), path)
     r = sdf.read_sdf(spark, path)
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
-    bonds = F.array_sort(F.transform("mol.bonds", lambda b: F.struct(b.a.alias("a"), b.b.alias("b"), b.bond_order.alias("o"))))
+    rows = F.array_sort(F.transform("mol.bonds", lambda b: F.struct(b.a.alias("a"), b.b.alias("b"), b.bond_order.alias("o"))))
+    bonds = F.transform(rows, lambda b: F.concat_ws("-", b.a, b.b, b.o))
     return r.select(
         "name", F.transform("mol.atoms", lambda a: a.z).alias("zs"), total("x").alias("sx"), total("z").alias("sz"), bonds.alias("bs"),
         F.col("props")["ID"].alias("id"), F.col("props")["NOTE"].alias("note"),
@@ -181,7 +182,7 @@ def sdf_text(spark, sf):
     )
 
 
-@query("io14_csv_fields", """SELECT p_partkey, [p_name, 'say "' || p_brand || '", twice', '', p_size::VARCHAR, p_type] AS fields FROM part""")
+@query("io14_csv_fields", """SELECT p_partkey, [p_name, 'say "' || p_brand || '", twice', '', p_size::VARCHAR, p_type] AS fields FROM part""", arrays=("fields",))
 def csv_fields(spark, sf):
     p = T.table(spark, sf, "part")
     line = F.concat(

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -12,15 +14,27 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def _lists_as_text(fn: QueryFn, arrays: tuple[str, ...]) -> QueryFn:
+    """List columns joined to text, so that results compare as plain values."""
+
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = fn(spark, sf_dir)
+        return df.withColumns({c: F.array_join(F.col(c).cast("array<string>"), "|") for c in arrays})
+
+    return run
+
+
+def query(name: str, sql: str | None = None, arrays: tuple[str, ...] = ()):
     """Register ``fn(spark, sf_dir)`` under ``name``; ``sql`` is its check."""
 
     def wrap(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+        QUERIES[name] = _lists_as_text(fn, arrays) if arrays else fn
         if sql is not None:
-            ORACLES[name] = sql
+            texts = ", ".join(f"array_to_string({c}, '|') AS {c}" for c in arrays)
+            ORACLES[name] = f"SELECT * REPLACE ({texts}) FROM ({sql})" if arrays else sql
         return fn
 
     return wrap

@@ -94,7 +94,7 @@ def on_bits(spark, sf):
   SELECT id, CASE WHEN n = 0 THEN 64 ELSE 63 - list_max(bits) END AS clz, CASE WHEN n = 0 THEN 64 ELSE list_min(bits) END AS ctz,
    CASE WHEN n = 64 THEN 64 ELSE 63 - list_max(off) END AS clo, CASE WHEN n = 64 THEN 64 ELSE list_min(off) END AS cto, n = 1 AS single,
    CASE WHEN n = 0 THEN 0 ELSE list_max(bits) + 1 END AS width, CASE WHEN n = 0 THEN 0 ELSE CASE WHEN list_max(bits) = 63 THEN -9223372036854775808 ELSE (1::HUGEINT << list_max(bits))::BIGINT END END AS floor_bit,
-   list_sort(list_transform(bits, lambda i: (i + 7) % 64)) AS rot_left, list_sort(list_transform(bits, lambda i: (i + 57) % 64)) AS rot_right FROM r""")
+   list_sort(list_transform(bits, lambda i: (i + 7) % 64)) AS rot_left, list_sort(list_transform(bits, lambda i: (i + 57) % 64)) AS rot_right FROM r""", arrays=("rot_left", "rot_right",))
 def word_functions(spark, sf):
     d = T.sign_bits(spark, sf).withColumn("w", F.col("fp")[0])
     big = lambda c: c.cast("bigint")
@@ -141,7 +141,7 @@ def bool_list_tanimoto(spark, sf):
 
 
 @query("t04_bit_set_algebra", f"""{_NEXT} SELECT id, c AS n_and, xn + yn - c AS n_or, xn + yn - 2 * c AS n_xor,
-  list_sort(list_intersect(xb, yb))::INT[] AS and_bits FROM p""")
+  list_sort(list_intersect(xb, yb))::INT[] AS and_bits FROM p""", arrays=("and_bits",))
 def bit_set_algebra(spark, sf):
     p = _pairs(spark, sf)
     n = lambda c: B.popcount(c).cast("bigint")

@@ -124,7 +124,7 @@ def view_chain(spark, sf):
 
 
 @query("r08_split_join_views", """SELECT event_id, list_transform(range(1, user_id % 5 + 1), lambda i: i::INT) AS iota, list_reverse(string_split(event_type, 'i')) AS pieces,
-  array_to_string(string_split(event_type, 'i'), '-') AS joined FROM events""")
+  array_to_string(string_split(event_type, 'i'), '-') AS joined FROM events""", arrays=("iota", "pieces",))
 def split_join_views(spark, sf):
     n = (F.col("user_id") % 5).cast("int")
     pieces = F.split("event_type", "i", -1)
@@ -132,7 +132,7 @@ def split_join_views(spark, sf):
     return events(spark, sf).select("event_id", iota.alias("iota"), F.reverse(pieces).alias("pieces"), F.array_join(pieces, "-").alias("joined"))
 
 
-@query("r08_keys_values", """SELECT event_id, json_keys(props) AS ks, list_sum(list_transform(json_keys(props), lambda k: CAST(json_extract(props, '$.' || k) AS BIGINT)))::BIGINT AS total FROM events""")
+@query("r08_keys_values", """SELECT event_id, json_keys(props) AS ks, list_sum(list_transform(json_keys(props), lambda k: CAST(json_extract(props, '$.' || k) AS BIGINT)))::BIGINT AS total FROM events""", arrays=("ks",))
 def keys_values(spark, sf):
     m = F.from_json("props", "map<string,bigint>")
     total = F.aggregate(F.map_values(m), F.lit(0).cast("bigint"), lambda a, v: a + v)
@@ -241,7 +241,7 @@ def counter(spark, sf):
     return events(spark, sf).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a06_grouped_lists", "SELECT l_orderkey, 0::INT AS block, list_sort(list(l_linenumber)) AS items FROM lineitem GROUP BY 1")
+@query("a06_grouped_lists", "SELECT l_orderkey, 0::INT AS block, list_sort(list(l_linenumber)) AS items FROM lineitem GROUP BY 1", arrays=("items",))
 def grouped_lists(spark, sf):
     return G.grouped_lists(lineitem(spark, sf), "l_orderkey", "l_linenumber")
 
@@ -406,7 +406,7 @@ def string_basics(spark, sf):
 
 
 @query("x02_string_editing", r"""SELECT p_partkey, string_split(p_name, ' ') AS words, regexp_replace(chr(9) || ' ' || p_name || chr(10), '^\s+|\s+$', '', 'g') AS trimmed, array_to_string(string_split(p_name, ' '), '_') AS joined,
-  replace(p_name, 'e', 'EE') AS replaced, upper(p_name) AS up, length(p_name) - length(replace(p_name, 'i', '')) AS n_i FROM part""")
+  replace(p_name, 'e', 'EE') AS replaced, upper(p_name) AS up, length(p_name) - length(replace(p_name, 'i', '')) AS n_i FROM part""", arrays=("words",))
 def string_editing(spark, sf):
     from ..sources.smi import trim
 
@@ -455,7 +455,7 @@ def vectors(spark, sf):
 
 
 @query("x06_maps", """SELECT event_id, k AS got, k IS NOT NULL AS has_k, 'z' = 'k' AS has_z, k AS kept_first, 7::BIGINT AS overwritten, list_sort(['k', 'n']) AS ks, 1::BIGINT AS n_after_erase
-  FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)""")
+  FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)""", arrays=("ks",))
 def maps(spark, sf):
     m = F.from_json("props", "map<string,bigint>")
     e = events(spark, sf).select("event_id", m.alias("m"))
@@ -499,7 +499,7 @@ def variant(spark, sf):
 
 @query("x09_list_operations", """WITH v AS (SELECT vec_id, list_transform(embedding[1:6], lambda x: round(x::DOUBLE * 100)::BIGINT) AS v FROM embeddings)
   SELECT vec_id, list_append(v, 99) AS appended, v[1:5] AS popped, list_concat([0], v) AS inserted, list_filter(v, lambda x: x <> v[1]) AS erased, v[1:2] AS head, v[5:6] AS tail, v[3:4] AS middle,
-   list_reverse(v) AS reversed, v[1] AS front, v[-1] AS back, list_position(v, v[-1]) - 1 AS idx, [v[1], v[1], v[1]] AS filled, list_concat(v, v) AS doubled FROM v""")
+   list_reverse(v) AS reversed, v[1] AS front, v[-1] AS back, list_position(v, v[-1]) - 1 AS idx, [v[1], v[1], v[1]] AS filled, list_concat(v, v) AS doubled FROM v""", arrays=("appended", "popped", "inserted", "erased", "head", "tail", "middle", "reversed", "filled", "doubled",))
 def list_operations(spark, sf):
     v = F.transform(F.slice("embedding", 1, 6), lambda x: F.round(x.cast("double") * 100).cast("bigint"))
     e = embeddings(spark, sf).select("vec_id", v.alias("v"))

@@ -45,9 +45,9 @@ _CHARGES = (
     + let(
         "filter(split(substr(t, 7), '[ \\\\t]+'), v -> v <> '')",
         "v",
-        "IF(size(v) < 3, cast(array() as array<struct<i:int,q:int>>), "
-        "transform(sequence(1, least(cast(v[0] as int), (size(v) - 1) div 2)), "
-        "k -> named_struct('i', cast(v[2 * k - 1] as int), 'q', cast(v[2 * k] as int))))",
+        "IF(size(v) < 3 OR coalesce(try_cast(v[0] as int), 0) < 1, cast(array() as array<struct<i:int,q:int>>), "
+        "transform(sequence(1, least(coalesce(try_cast(v[0] as int), 0), cast((size(v) - 1) div 2 as int))), "
+        "k -> named_struct('i', try_cast(v[2 * k - 1] as int), 'q', try_cast(v[2 * k] as int))))",
     )
     + "))"
 )
@@ -60,7 +60,7 @@ _MOL = (
         let(
             f"transform({_ATOM_LINES}, (t, i) -> named_struct("
             f"'z', cast(array_position({_SYMS}, trim(both ' \\t\\r' from substr(t, 32, 3))) as int), "
-            "'charge', coalesce(element_at(filter(chg, c -> c.i = i + 1), -1).q, 0), 'num_h', 0, 'isotope', 0, "
+            "'charge', coalesce(try_element_at(filter(chg, c -> c.i = i + 1), -1).q, 0), 'num_h', 0, 'isotope', 0, "
             "'aromatic', false, 'in_ring', false, 'explicit_h', false, 'chirality', 0))",
             "atoms",
             f"cast(named_struct('atoms', atoms, 'bonds', bonds, 'adj', {_adjacency('size(atoms)', 'bonds')}) as {MOL_T})",
