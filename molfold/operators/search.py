@@ -15,10 +15,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits as B
+from ..functions.once import with_once
+from .scratch import written
 
 # a query side of at most this many rows is shipped to every task: the words
 # once per query, plus two integers per query and popcount in its band
@@ -43,8 +47,14 @@ def _popcount_words(words: Sequence[int]) -> int:
     return sum(bin(w & 0xFFFFFFFFFFFFFFFF).count("1") for w in words)
 
 
-def _literal_score(words: Sequence[int], count: int) -> Column:
-    return B.tanimoto_counts(B.intersection_literal("fp", words), F.lit(count), F.col("popcnt"))
+def _scored(rows: DataFrame, common: Column, nx: Column, ny: Column) -> DataFrame:
+    """Adds ``score``; the intersection is counted once per row, whatever
+    filters follow."""
+    return with_once(rows, "common", common).withColumn("score", B.tanimoto_counts(F.col("common"), nx, ny))
+
+
+def _literal_scored(rows: DataFrame, words: Sequence[int], count: int) -> DataFrame:
+    return _scored(rows, B.intersection_literal("fp", words), F.lit(count), F.col("popcnt"))
 
 
 def threshold_search(db: DataFrame, words: Sequence[int], threshold: float, use_pruning: bool = True) -> DataFrame:
@@ -60,7 +70,8 @@ def threshold_search(db: DataFrame, words: Sequence[int], threshold: float, use_
         lo, hi = band(count, threshold)
         rows = rows.where(F.col("popcnt").between(lo, hi))
     return (
-        rows.select("id", _literal_score(words, count).alias("score"))
+        _literal_scored(rows, words, count)
+        .select("id", "score")
         .where(F.col("score") >= threshold)
         .orderBy(F.desc("score"), "id")
     )
@@ -72,8 +83,8 @@ def topk_search(db: DataFrame, words: Sequence[int], k: int) -> DataFrame:
     if k <= 0 or count == 0:
         return db.where("false").select("id", F.lit(0.0).alias("score"))
     return (
-        db.where("popcnt > 0")
-        .select("id", _literal_score(words, count).alias("score"))
+        _literal_scored(db.where("popcnt > 0"), words, count)
+        .select("id", "score")
         .orderBy(F.desc("score"), "id")
         .limit(k)
     )
@@ -122,15 +133,18 @@ def _banded_pairs(
     return _spread(db, copies).join(keys, ["popcnt", "part"])
 
 
-def _pair_score() -> Column:
-    return B.tanimoto_counts(B.intersection("fp", "q_fp"), F.col("popcnt"), F.col("q_n"))
+def _pairs_scored(pairs: DataFrame) -> DataFrame:
+    scored = _scored(pairs, B.intersection("fp", "q_fp"), F.col("popcnt"), F.col("q_n"))
+    return scored.select("query_id", "id", "score")
 
 
-def multi_threshold_search(db: DataFrame, queries: DataFrame, threshold: float, copies: int = 32) -> DataFrame:
+def multi_threshold_search(
+    db: DataFrame, queries: DataFrame, threshold: float, copies: int = 32
+) -> DataFrame:
     """Every (query, row) pair scoring at least ``threshold`` (> 0)."""
     lo, hi = band_columns(F.col("popcnt"), threshold)
     pairs = _banded_pairs(db, queries, lo, hi, copies, is_small(queries))
-    return pairs.select("query_id", "id", _pair_score().alias("score")).where(F.col("score") >= threshold)
+    return _pairs_scored(pairs).where(F.col("score") >= threshold)
 
 
 def _rank(pairs: DataFrame, k: int) -> DataFrame:
@@ -138,7 +152,9 @@ def _rank(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def multi_topk_search(db: DataFrame, queries: DataFrame, k: int, reach: float = 0.5, copies: int = 32) -> DataFrame:
+def multi_topk_search(
+    db: DataFrame, queries: DataFrame, k: int, reach: float = 0.5, copies: int = 32
+) -> DataFrame:
     """The k best rows per query, scanning near popcounts first.
 
     Pass one scores rows whose popcount allows at least ``reach`` and keeps
@@ -151,7 +167,7 @@ def multi_topk_search(db: DataFrame, queries: DataFrame, k: int, reach: float =
     small = is_small(queries)
     lo, hi = band_columns(F.col("popcnt"), reach)
     first = _rank(
-        _banded_pairs(db, queries, lo, hi, copies, small).select("query_id", "id", _pair_score().alias("score")), k
+        _pairs_scored(_banded_pairs(db, queries, lo, hi, copies, small)), k
     )
     floor = first.groupBy("query_id").agg(
         F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(0.0)).alias("floor")
@@ -168,7 +184,7 @@ def multi_topk_search(db: DataFrame, queries: DataFrame, k: int, reach: float =
     ).otherwise(F.col("most")).cast("int")
     bounded = bounded.withColumns({"_lo": low, "_hi": high}).where("_lo <= _hi")
     pairs = _banded_pairs(db, bounded, F.col("_lo"), F.col("_hi"), copies, small)
-    return _rank(pairs.select("query_id", "id", _pair_score().alias("score")), k)
+    return _rank(_pairs_scored(pairs), k)
 
 
 def similarity_matrix(db: DataFrame, queries: DataFrame, pack: int = 256, copies: int = 32) -> DataFrame:
@@ -235,58 +251,148 @@ def _prefix_length(n: Column, threshold: float) -> Column:
     return F.least(n - F.ceil(n * threshold) + 2, n).cast("int")
 
 
-def all_pairs(db: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Distinct fingerprint pairs scoring at least ``threshold`` (> 0).
+def _popcount_class(n: Column, threshold: float) -> Column:
+    # each class spans a factor 1 / threshold, so counts within the band of
+    # each other differ by one class at most
+    if threshold >= 1:
+        return n.cast("int")
+    return F.floor(F.ln(n.cast("double")) / math.log(1 / threshold)).cast("int")
+
+
+def _estimated_pairs(sizes: DataFrame) -> float:
+    """Comparisons that meeting places of these (bit, cls, n) sizes cause."""
+    nxt = sizes.select("bit", (F.col("cls") - 1).alias("cls"), F.col("n").alias("m"))
+    both = sizes.join(nxt, ["bit", "cls"], "left")
+    n, m = F.col("n").cast("double"), F.coalesce("m", F.lit(0))
+    return both.agg(F.sum(n * (n / 2 + m))).first()[0] or 0.0
+
+
+_PLACE = ("bit", "cls", "other", "block", "other_block")
+
+
+def _sides(rows: DataFrame, sizes: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The two sides of every comparison, with equal place columns where they
+    meet: same bit, popcount classes at most one apart, side ``a`` the lower.
+
+    A crowded (bit, class) is cut into blocks of about ``block_rows`` rows on
+    both sides, and every block meets every block, so no task sees more than
+    ``block_rows`` x ``block_rows`` pairs of one meeting place.
+    """
+    blocks = sizes.select("bit", "cls", F.ceil(F.col("n") / block_rows).cast("int").alias("n_blocks"))
+    own = rows.join(F.broadcast(blocks), ["bit", "cls"]).withColumn(
+        "block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int")
+    ).drop("n_blocks")
+
+    def visit(other_cls: Column) -> DataFrame:
+        there = blocks.select("bit", F.col("cls").alias("other"), F.col("n_blocks"))
+        return (
+            own.withColumn("other", F.explode(other_cls))
+            .join(F.broadcast(there), ["bit", "other"])
+            .withColumn("other_block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+            .drop("n_blocks")
+        )
+
+    a = visit(F.array(F.col("cls"), F.col("cls") + 1))
+    b = visit(F.array(F.col("cls") - 1, F.col("cls")))
+    swapped = {"cls": "other", "other": "cls", "block": "other_block", "other_block": "block"}
+    b = b.select(*[F.col(c).alias(swapped.get(c, c)) for c in b.columns])
+    return a, b
+
+
+_PAIR_SCHEMA = "id_a bigint, id_b bigint, common int, na int, nb int, copies_a bigint, copies_b bigint"
+
+
+def _block_hits(threshold: float):
+    """Hits of one block against another, a row of words at a time."""
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        def side(t):
+            fp = t["fp"].combine_chunks()
+            words = fp.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(fp), -1)
+            return words, *(t[c].to_numpy() for c in ("id", "popcnt", "copies", "cls"))
+
+        aw, ai, an, ac, acls = side(left)
+        bw, bi, bn, bc, bother = side(right)
+        inside = len(left) > 0 and len(right) > 0 and left["cls"][0] == left["other"][0]
+        out = []
+        for k in range(len(ai)):
+            near = (bn * threshold <= an[k] + 1) & (an[k] * threshold <= bn + 1)
+            if inside:
+                near &= bi > ai[k]
+            at = np.flatnonzero(near)
+            common = np.bitwise_count(bw[at] & aw[k]).sum(axis=1, dtype=np.int64)
+            # loose by far more than rounding; the exact test follows in the plan
+            hit = common * (1 + threshold) + 1e-6 >= threshold * (an[k] + bn[at])
+            at, common = at[hit], common[hit]
+            if len(at):
+                n = len(at)
+                out.append((np.full(n, ai[k]), bi[at], common, np.full(n, an[k]), bn[at], np.full(n, ac[k]), bc[at]))
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        names = ("id_a", "id_b", "common", "na", "nb", "copies_a", "copies_b")
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.array([], np.int64)] * 7
+        return pa.table([pa.array(c).cast(t) for c, t in zip(columns, types)], names=names)
+
+    return compare
+
+
+def all_pairs(
+    db: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Distinct fingerprint pairs scoring at least ``threshold`` (> 0, <= 1).
 
     Returns ``id_a < id_b`` (the smallest ids of the two fingerprints), the
     score, and how many rows carry each.  Copies are folded first, so a
-    fingerprint shared by a third of all rows counts once here; see
-    :func:`expand_pairs` for pairs of original ids.
-
-    Candidates meet on their rarest bits only (prefix filter), within the
-    popcount band.  A group that is still crowded is cut into blocks, and
-    block meets block; each pair is checked inside the join and reported only
-    by the first bit the two prefixes share, so nothing has to be
-    de-duplicated afterwards.
+    fingerprint shared by a third of all rows counts once here.
+
+    Only popcounts within the band of each other are compared.  For sparse
+    fingerprints candidates must also share one of their rarest bits (prefix
+    filter); for dense ones that would repeat most comparisons, so rows meet
+    on the popcount class alone.  The cheaper of the two is chosen from the
+    measured sizes of the meeting places; both are exact.
     """
     d = distinct_fingerprints(db.where("popcnt > 0"))
-    rarity = (
-        d.select(F.explode(B.on_bits("fp")).alias("bit")).groupBy("bit").agg(F.count(F.lit(1)).alias("n"))
-    )
+    d = written(d.withColumn("cls", _popcount_class(F.col("popcnt"), threshold)), "fingerprints")
+    rarity = d.select(F.explode(B.on_bits("fp")).alias("bit")).groupBy("bit").agg(F.count(F.lit(1)).alias("n"))
     # one entry per bit position: bounded by the fingerprint length
     by_rarity = rarity.agg(
         F.transform(F.array_sort(F.collect_list(F.struct("n", "bit"))), lambda s: s.bit)
     ).scalar()
     keep = _prefix_length(F.col("popcnt"), threshold)
-    p = d.select(
-        "id", "fp", "popcnt", "copies",
-        F.slice(F.array_intersect(by_rarity, B.on_bits("fp")), F.lit(1), keep).alias("prefix"),
-    )
-    rows = p.withColumn("bit", F.explode("prefix"))
-    sizes = rows.groupBy("bit").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-    rows = rows.join(F.broadcast(sizes), "bit").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # a row is sent as left side to one block pair per partner block
-    left = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    a, b = left.alias("a"), right.alias("b")
-    lo, hi = band_columns(F.col("a.popcnt"), threshold)
-    score = B.tanimoto_counts(B.intersection("a.fp", "b.fp"), F.col("a.popcnt"), F.col("b.popcnt"))
-    return (
-        a.join(
-            b,
-            (F.col("a.bit") == F.col("b.bit"))
-            & (F.col("a.block") == F.col("b.other"))
-            & (F.col("a.other") == F.col("b.block"))
-            & (F.col("a.id") < F.col("b.id"))
-            & F.col("b.popcnt").between(lo, hi)
-            & (F.element_at(F.array_intersect("a.prefix", "b.prefix"), 1) == F.col("a.bit"))
-            & (score >= threshold),
+    prefix = F.slice(F.array_intersect(by_rarity, B.on_bits("fp")), F.lit(1), keep)
+
+    def sizes_of(rows):
+        # one row per bit and popcount class: bounded by the fingerprint length
+        return rows.groupBy("bit", "cls").agg(F.count(F.lit(1)).alias("n"))
+
+    by_class = d.withColumn("bit", F.lit(-1))
+    by_prefix = d.select("*", F.explode(prefix).alias("bit"))
+    class_sizes, prefix_sizes = sizes_of(by_class), sizes_of(by_prefix)
+    # a pair may meet at several bits, and hits must be made distinct again
+    use_prefix = 2 * _estimated_pairs(prefix_sizes) < _estimated_pairs(class_sizes)
+    if use_prefix:
+        a, b = _sides(by_prefix, prefix_sizes, block_rows)
+        lo, hi = band_columns(F.col("a.popcnt"), threshold)
+        met = a.alias("a").join(
+            b.alias("b").hint("shuffle_hash"),
+            [F.col(f"a.{c}") == F.col(f"b.{c}") for c in _PLACE]
+            + [(F.col("a.cls") < F.col("a.other")) | (F.col("a.id") < F.col("b.id")), F.col("b.popcnt").between(lo, hi)],
         )
-        .select(
-            F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), score.alias("score"),
-            F.col("a.copies").alias("copies_a"), F.col("b.copies").alias("copies_b"),
+        sides = met.select(
+            F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.col("a.popcnt").alias("na"), F.col("b.popcnt").alias("nb"),
+            F.col("a.copies").alias("copies_a"), F.col("b.copies").alias("copies_b"), F.col("a.fp").alias("fa"), F.col("b.fp").alias("fb"),
         )
-    )
+        pairs = with_once(sides, "common", B.intersection("fa", "fb"))
+    else:
+        a, b = _sides(by_class, class_sizes, block_rows)
+        pairs = a.groupBy(*_PLACE).cogroup(b.groupBy(*_PLACE)).applyInArrow(_block_hits(threshold), _PAIR_SCHEMA)
+    score = B.tanimoto_counts(F.col("common"), F.col("na"), F.col("nb"))
+    flip = F.col("id_a") > F.col("id_b")
+    hits = pairs.select(
+        F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), score.alias("score"),
+        F.when(flip, F.col("copies_b")).otherwise(F.col("copies_a")).alias("copies_a"),
+        F.when(flip, F.col("copies_a")).otherwise(F.col("copies_b")).alias("copies_b"),
+    ).where(F.col("score") >= threshold)
+    return hits.dropDuplicates(["id_a", "id_b"]) if use_prefix else hits
 
 
 def neighbour_counts(db: DataFrame, threshold: float) -> DataFrame:

@@ -8,12 +8,12 @@ from ..functions import bits as B
 from ..functions import descriptors as D
 from ..functions import morgan as M
 from ..functions.smiles import with_molecule
+from ..operators.scratch import scratch_path
 from ..sources import csvfile, fpfile, sdf, smi
 from . import tables as T
 from .chemistry import _DSQL, _ELEMENTS, _G, _M, _QED, _S, _VIOL, library
 from .pieces import smiles_cte
 from .registry import query
-from .scratch import scratch_path
 
 
 def _lines(spark, sf):

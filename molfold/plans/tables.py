@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import bits as B
 from ..functions.elements import _lit_array
 from ..functions.smiles import with_molecule
+from ..operators.spread import spread_small
 
 # SMILES pieces that are strung together: left + carbons + core + right.
 LEFT = ("C", "O", "N", "Cl", "[NH3+]", "CC(=O)O", "N#C", "[Na+].[O-]")
@@ -50,6 +51,7 @@ def compose_smiles(key: Column, pad: Column) -> Column:
 def smiles_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(mol_id, smiles) for every part."""
     p = table(spark, sf_dir, "part")
+    p = spread_small(p.select("p_partkey", "p_size"))
     return p.select(
         F.col("p_partkey").alias("mol_id"), compose_smiles(F.col("p_partkey"), F.col("p_size")).alias("smiles")
     )
@@ -62,7 +64,7 @@ def molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(flag, smiles, mol, error) for every lineitem."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread_small(table(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber", "l_quantity", "l_returnflag"))
     key = (F.col("l_partkey") * 7 + F.col("l_linenumber")) * 4 + F.col("l_quantity").cast("bigint") % 4
     return with_molecule(
         li.select(F.col("l_returnflag").alias("flag"), compose_smiles(key, F.col("l_quantity").cast("bigint")).alias("smiles"))
@@ -86,7 +88,7 @@ def sign_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_rows(df: DataFrame, key: str, text: str, n_bits: int = 2048) -> DataFrame:
     """(id, bit) for every word: the first 32 bits of its md5, modulo n_bits."""
-    words = df.select(F.col(key).alias("id"), F.explode(F.split(text, r"[ \n]+")).alias("word"))
+    words = spread_small(df.select(F.col(key).alias("id"), F.col(text).alias("_text"))).select("id", F.explode(F.split("_text", r"[ \n]+")).alias("word"))
     return words.where("word <> ''").select(
         "id", (F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint") % n_bits).cast("int").alias("bit")
     )
