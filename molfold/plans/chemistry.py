@@ -633,6 +633,6 @@ _LINES = f"(SELECT DISTINCT {_LINE_KEY} AS k, CAST(l_quantity AS BIGINT) % 4 AS
 def library_statistics(spark, sf):
     d = T.line_molecules(spark, sf).where("mol IS NOT NULL").withColumn("d", D.descriptors("mol", ("mw", "logp", "hbd", "hba")))
     return d.groupBy("flag").agg(
-        F.round(F.sum("d.mw"), 1).alias("sum_mw"), F.round(F.sum("d.logp"), 1).alias("sum_logp"),
-        F.count(F.lit(1)).alias("n"), F.count_if(D.passes_ro5()).alias("ro5_pass"),
+        F.round(F.sum(F.col("d.mw") * F.col("n")), 1).alias("sum_mw"), F.round(F.sum(F.col("d.logp") * F.col("n")), 1).alias("sum_logp"),
+        F.sum("n").alias("n"), F.sum(F.when(D.passes_ro5(), F.col("n")).otherwise(0)).alias("ro5_pass"),
     )

@@ -226,3 +226,11 @@ def success_rate(spark, sf):
         F.count(F.lit(1)).alias("n"), F.count("mol").alias("n_ok"), F.count("error").alias("n_fail"),
         F.round(F.count("mol") / F.count(F.lit(1)), 6).alias("rate"),
     )
+
+
+@query("io16_table_files")
+def table_files(spark, sf):
+    """The files behind the given tables (their names depend on the storage)."""
+    from ..sources.listing import list_files
+
+    return list_files(spark, sf, "*.parquet").select("stem", "extension")

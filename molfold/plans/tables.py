@@ -63,12 +63,17 @@ def molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(flag, smiles, mol, error) for every lineitem."""
-    li = spread_small(table(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber", "l_quantity", "l_returnflag"))
+    """(flag, n, smiles, mol, error): the molecules of lineitem by return flag.
+
+    Equal rows are counted first, so a molecule that many lines share is
+    parsed once per flag and the copies never leave the map side.
+    """
+    li = table(spark, sf_dir, "lineitem")
     key = (F.col("l_partkey") * 7 + F.col("l_linenumber")) * 4 + F.col("l_quantity").cast("bigint") % 4
-    return with_molecule(
-        li.select(F.col("l_returnflag").alias("flag"), compose_smiles(key, F.col("l_quantity").cast("bigint")).alias("smiles"))
-    )
+    lines = li.select(F.col("l_returnflag").alias("flag"), compose_smiles(key, F.col("l_quantity").cast("bigint")).alias("smiles"))
+    counted = lines.groupBy("flag", "smiles").agg(F.count(F.lit(1)).alias("n"))
+    # few distinct rows would end up in one task; parsing wants all cores
+    return with_molecule(counted.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))))
 
 
 def sign_bits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,3 +158,16 @@ def test_random_text_never_fails(spark):
 def test_long_chain_is_read_whole(spark):
     r = parsed(spark, ["C" * 3000 + "(O)N"]).select(F.size("mol.atoms").alias("n"), D.molecular_formula("mol").alias("f")).first()
     assert (r.n, r.f) == (3002, "C3000H6003NO")
+
+
+def test_sql_names(spark):
+    from molfold.functions.sqlapi import register_sql
+
+    register_sql(spark)
+    r = spark.sql(
+        "SELECT s, mol_formula(s) AS f, round(mol_weight(s), 3) AS w, mol_rings(s) AS r, size(smiles_parse(s).mol.atoms) AS n "
+        "FROM VALUES ('CCO'), ('c1ccccc1'), ('C(') AS t(s)"
+    ).collect()
+    got = {x.s: (x.f, x.w, x.r, x.n) for x in r}
+    assert got["CCO"] == ("C2H6O", 46.069, 0, 3) and got["c1ccccc1"] == ("C6H6", 78.114, 1, 6)
+    assert got["C("][:3] == (None, None, None)
