@@ -23,12 +23,12 @@ _S = "WITH " + smiles_cte()
 # ---------------------------------------------------------------- parsing
 
 
-@query("p01_parse_atoms", f"{_G} SELECT mol_id, idx, z, charge, num_h, isotope, aromatic, in_ring, explicit_h, chirality FROM atoms")
+@query("p01_parse_atoms", f"{_G} SELECT mol_id, idx, z, charge, num_h, isotope, aromatic, in_ring, explicit_h, chirality FROM atoms", ints=("idx", "num_h",))
 def parse_atoms(spark, sf):
     return G.explode_atoms(T.molecules(spark, sf), "mol_id")
 
 
-@query("p01_parse_bonds", f"{_G} SELECT mol_id, a, b, ord AS bond_order, ring AS in_ring FROM bonds")
+@query("p01_parse_bonds", f"{_G} SELECT mol_id, a, b, ord AS bond_order, ring AS in_ring FROM bonds", ints=("a", "b",))
 def parse_bonds(spark, sf):
     return G.explode_bonds(T.molecules(spark, sf), "mol_id").drop("bond_idx")
 
@@ -40,12 +40,12 @@ _ERRORS = f"""{_S} SELECT mol_id, smiles,
 FROM smi WHERE broken"""
 
 
-@query("p01_parse_errors", _ERRORS)
+@query("p01_parse_errors", _ERRORS, ints=("position",))
 def parse_errors(spark, sf):
     return T.molecules(spark, sf).where("error IS NOT NULL").select("mol_id", "smiles", "error.message", "error.position")
 
 
-@query("p02_bracket_atoms", f"{_G} SELECT mol_id, idx, z, charge, num_h, isotope, chirality FROM atoms WHERE explicit_h")
+@query("p02_bracket_atoms", f"{_G} SELECT mol_id, idx, z, charge, num_h, isotope, chirality FROM atoms WHERE explicit_h", ints=("idx", "num_h",))
 def bracket_atoms(spark, sf):
     atoms = G.explode_atoms(T.molecules(spark, sf), "mol_id")
     return atoms.where("explicit_h").select("mol_id", "idx", "z", "charge", "num_h", "isotope", "chirality")
@@ -53,7 +53,7 @@ def bracket_atoms(spark, sf):
 
 @query("p03_ring_closures", f"""{_G} SELECT mol_id, a, b, ord AS bond_order FROM bonds
   WHERE (mol_id, b) IN (SELECT mol_id, b FROM bonds GROUP BY ALL HAVING count(*) > 1)
-    AND (mol_id, a, b) NOT IN (SELECT mol_id, max(a), b FROM bonds GROUP BY mol_id, b)""")
+    AND (mol_id, a, b) NOT IN (SELECT mol_id, max(a), b FROM bonds GROUP BY mol_id, b)""", ints=("a", "b",))
 def ring_closures(spark, sf):
     """Closing bonds: the extra bonds to an atom that already has a predecessor."""
     bonds = G.explode_bonds(T.molecules(spark, sf), "mol_id")
@@ -173,7 +173,7 @@ _CHECK = f"""{_CHARS}, flagged AS (SELECT *, q > 0 OR c = ']' AS inside FROM sum
    CASE WHEN kind IS NULL THEN atoms END AS atoms, CASE WHEN kind IS NULL THEN ring_bonds END AS ring_bonds, CASE WHEN kind IS NULL THEN branches END AS branches FROM graded"""
 
 
-@query("p14_check_smiles", _CHECK)
+@query("p14_check_smiles", _CHECK, ints=("position", "atoms", "ring_bonds", "branches",))
 def check_smiles(spark, sf):
     s = T.smiles_rows(spark, sf).withColumn("r", X.check_smiles("smiles"))
     return s.select("mol_id", "r.error.kind", "r.error.position", "r.error.detail", "r.atoms", "r.ring_bonds", "r.branches")
@@ -206,7 +206,7 @@ _REACH = """ reach(mol_id, s, idx) AS (SELECT mol_id, idx, idx FROM atoms
  label AS (SELECT mol_id, s AS idx, min(idx) AS root FROM reach GROUP BY ALL)"""
 
 
-@query("g01_shortest_paths", f"{_GR}, {_WALK.format(where='WHERE idx = 0')} SELECT a.mol_id, a.idx, CAST(coalesce(d, -1) AS INT) AS dist FROM atoms a LEFT JOIN dist ON dist.mol_id = a.mol_id AND dist.idx = a.idx")
+@query("g01_shortest_paths", f"{_GR}, {_WALK.format(where='WHERE idx = 0')} SELECT a.mol_id, a.idx, CAST(coalesce(d, -1) AS INT) AS dist FROM atoms a LEFT JOIN dist ON dist.mol_id = a.mol_id AND dist.idx = a.idx", ints=("idx",))
 def shortest_paths(spark, sf):
     m = T.molecules(spark, sf).where("mol IS NOT NULL")
     return m.select("mol_id", F.posexplode(G.shortest_paths_from("mol", 0)).alias("idx", "dist"))
@@ -214,7 +214,7 @@ def shortest_paths(spark, sf):
 
 @query("g02_distance_matrix", f"""{_GR}, {_WALK.format(where='')} SELECT mol_id, s AS i, list(d ORDER BY idx) AS distances FROM
   (SELECT a.mol_id, a.idx AS s, b.idx, CAST(coalesce(d, -1) AS INT) AS d FROM atoms a JOIN atoms b ON a.mol_id = b.mol_id
-   LEFT JOIN dist ON dist.mol_id = a.mol_id AND dist.s = a.idx AND dist.idx = b.idx) GROUP BY ALL""", arrays=("distances",))
+   LEFT JOIN dist ON dist.mol_id = a.mol_id AND dist.s = a.idx AND dist.idx = b.idx) GROUP BY ALL""", arrays=("distances",), ints=("i",))
 def distance_matrix(spark, sf):
     m = T.molecules(spark, sf).where("mol IS NOT NULL")
     return m.select("mol_id", F.posexplode(G.distance_matrix("mol")).alias("i", "distances"))
@@ -225,7 +225,7 @@ def graph_diameter(spark, sf):
     return T.molecules(spark, sf).where("mol IS NOT NULL").select("mol_id", G.graph_diameter("mol").alias("diameter"))
 
 
-@query("g04_connected_components", f"{_GR}, {_REACH} SELECT mol_id, idx, CAST(dense_rank() OVER (PARTITION BY mol_id ORDER BY root) - 1 AS INT) AS component FROM label")
+@query("g04_connected_components", f"{_GR}, {_REACH} SELECT mol_id, idx, CAST(dense_rank() OVER (PARTITION BY mol_id ORDER BY root) - 1 AS INT) AS component FROM label", ints=("idx",))
 def connected_components(spark, sf):
     m = T.molecules(spark, sf).where("mol IS NOT NULL")
     return m.select("mol_id", F.posexplode(G.connected_components("mol")).alias("idx", "component"))
@@ -251,7 +251,7 @@ def ring_count(spark, sf):
    JOIN ends e ON e.mol_id = t.mol_id AND e.idx = t.idx AND NOT (t.idx = t.a AND e.nbr = t.b) AND NOT (t.idx = t.b AND e.nbr = t.a) AND e.ring WHERE t.d < 10),
  cyc AS (SELECT mol_id, a, b, min(d) + 1 AS n FROM turn WHERE idx = b GROUP BY ALL),
  ring_at AS (SELECT mol_id, a AS idx, n FROM cyc UNION ALL SELECT mol_id, b, n FROM cyc)
- SELECT a.mol_id, a.idx, CAST(coalesce(min(n), 0) AS INT) AS ring_size FROM atoms a LEFT JOIN ring_at ON ring_at.mol_id = a.mol_id AND ring_at.idx = a.idx GROUP BY ALL""")
+ SELECT a.mol_id, a.idx, CAST(coalesce(min(n), 0) AS INT) AS ring_size FROM atoms a LEFT JOIN ring_at ON ring_at.mol_id = a.mol_id AND ring_at.idx = a.idx GROUP BY ALL""", ints=("idx",))
 def smallest_ring_size(spark, sf):
     m = T.molecules(spark, sf).where("mol IS NOT NULL")
     return m.select("mol_id", F.posexplode(G.smallest_ring_size("mol")).alias("idx", "ring_size"))
@@ -261,7 +261,7 @@ _DEG = """ hd AS (SELECT a.mol_id, a.idx, count(y.z) AS degree, count(*) FILTER
    LEFT JOIN ends e ON e.mol_id = a.mol_id AND e.idx = a.idx LEFT JOIN atoms y ON y.mol_id = e.mol_id AND y.idx = e.nbr GROUP BY ALL)"""
 
 
-@query("g08_degrees", f"{_G}, {_DEG} SELECT mol_id, idx, degree, heavy_degree FROM hd")
+@query("g08_degrees", f"{_G}, {_DEG} SELECT mol_id, idx, degree, heavy_degree FROM hd", ints=("idx",))
 def degrees(spark, sf):
     m = T.molecules(spark, sf).where("mol IS NOT NULL")
     both = F.arrays_zip(G.degrees("mol").alias("degree"), G.heavy_degrees("mol").alias("heavy_degree"))
@@ -271,7 +271,7 @@ def degrees(spark, sf):
 
 @query("g09_checked_bonds", f"""{_G}, n AS (SELECT mol_id, count(*) AS n FROM atoms GROUP BY 1),
  given AS (SELECT b.mol_id, a, CASE WHEN b.mol_id % 5 = 0 THEN b + 4 WHEN b.mol_id % 5 = 1 THEN a ELSE b END AS b FROM bonds b)
- SELECT g.mol_id, a, b, CASE WHEN a >= n OR b >= n THEN 'atom index out of range' WHEN a = b THEN 'bond to itself' END AS problem FROM given g JOIN n ON n.mol_id = g.mol_id""")
+ SELECT g.mol_id, a, b, CASE WHEN a >= n OR b >= n THEN 'atom index out of range' WHEN a = b THEN 'bond to itself' END AS problem FROM given g JOIN n ON n.mol_id = g.mol_id""", ints=("a", "b",))
 def checked_bonds(spark, sf):
     """The builder's rules for a new bond, applied to shifted bonds."""
     m = T.molecules(spark, sf).where("mol IS NOT NULL").select("mol_id", F.size("mol.atoms").alias("n"), F.explode("mol.bonds").alias("e"))

@@ -101,7 +101,7 @@ _FORMULA_CTE = """, fparts AS (SELECT mol_id, symbol, count(*) AS n FROM atoms J
 
 @query("io07_descriptor_file", f"""{_DSQL}{_FORMULA_CTE} SELECT d.mol_id::VARCHAR AS "ID", smiles AS "SMILES", formula AS "Formula", {_fixed_sql('mw', 3)} AS "MW", heavy_atoms AS "HeavyAtoms", hetero_atoms AS "HeteroAtoms",
   {_fixed_sql('logp', 3)} AS "LogP", {_fixed_sql('tpsa', 2)} AS "TPSA", hbd AS "HBD", hba AS "HBA", rotatable AS "RotB", n_rings AS "Rings", n_arom_rings AS "AromRings", {_fixed_sql('fraction_csp3', 3)} AS "FracCsp3",
-  formal_charge AS "Charge", {_VIOL} AS "Ro5Violations", {_fixed_sql('(' + _QED + ')', 3)} AS "QED" FROM d JOIN smi ON smi.mol_id = d.mol_id JOIN fm ON fm.mol_id = d.mol_id""")
+  formal_charge AS "Charge", CAST({_VIOL} AS BIGINT) AS "Ro5Violations", {_fixed_sql('(' + _QED + ')', 3)} AS "QED" FROM d JOIN smi ON smi.mol_id = d.mol_id JOIN fm ON fm.mol_id = d.mol_id""")
 def descriptor_file(spark, sf):
     """The CSV as written, read back with its header."""
     path = scratch_path(spark, "csv")

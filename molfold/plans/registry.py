@@ -25,16 +25,20 @@ def _lists_as_text(fn: QueryFn, arrays: tuple[str, ...]) -> QueryFn:
     return run
 
 
-def query(name: str, sql: str | None = None, arrays: tuple[str, ...] = ()):
-    """Register ``fn(spark, sf_dir)`` under ``name``; ``sql`` is its check."""
+def query(name: str, sql: str | None = None, arrays: tuple[str, ...] = (), ints: tuple[str, ...] = ()):
+    """Register ``fn(spark, sf_dir)`` under ``name``; ``sql`` is its check.
+
+    ``arrays`` are list columns to compare as text, ``ints`` are columns that
+    the SQL side must narrow to 32 bits.
+    """
 
     def wrap(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = _lists_as_text(fn, arrays) if arrays else fn
         if sql is not None:
-            texts = ", ".join(f"array_to_string({c}, '|') AS {c}" for c in arrays)
-            ORACLES[name] = f"SELECT * REPLACE ({texts}) FROM ({sql})" if arrays else sql
+            changes = [f"array_to_string({c}, '|') AS {c}" for c in arrays] + [f"CAST({c} AS INTEGER) AS {c}" for c in ints]
+            ORACLES[name] = f"SELECT * REPLACE ({', '.join(changes)}) FROM ({sql})" if changes else sql
         return fn
 
     return wrap

@@ -443,7 +443,7 @@ def math_functions(spark, sf):
 
 
 @query("x05_vectors", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE * 1000)::BIGINT) AS v FROM embeddings)
-  SELECT vec_id, list_sum(v)::BIGINT AS total, list_max(v) AS hi, list_position(v, list_max(v)) - 1 AS argmax, len(list_distinct(v)) AS n_unique, list_sum(v[1:10])::BIGINT AS cum10 FROM v""")
+  SELECT vec_id, list_sum(v)::BIGINT AS total, list_max(v) AS hi, (list_position(v, list_max(v)) - 1)::BIGINT AS argmax, len(list_distinct(v)) AS n_unique, list_sum(v[1:10])::BIGINT AS cum10 FROM v""")
 def vectors(spark, sf):
     v = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("bigint"))
     e = embeddings(spark, sf).select("vec_id", v.alias("v"))
@@ -499,7 +499,7 @@ def variant(spark, sf):
 
 @query("x09_list_operations", """WITH v AS (SELECT vec_id, list_transform(embedding[1:6], lambda x: round(x::DOUBLE * 100)::BIGINT) AS v FROM embeddings)
   SELECT vec_id, list_append(v, 99) AS appended, v[1:5] AS popped, list_concat([0], v) AS inserted, list_filter(v, lambda x: x <> v[1]) AS erased, v[1:2] AS head, v[5:6] AS tail, v[3:4] AS middle,
-   list_reverse(v) AS reversed, v[1] AS front, v[-1] AS back, list_position(v, v[-1]) - 1 AS idx, [v[1], v[1], v[1]] AS filled, list_concat(v, v) AS doubled FROM v""", arrays=("appended", "popped", "inserted", "erased", "head", "tail", "middle", "reversed", "filled", "doubled",))
+   list_reverse(v) AS reversed, v[1] AS front, v[-1] AS back, (list_position(v, v[-1]) - 1)::BIGINT AS idx, [v[1], v[1], v[1]] AS filled, list_concat(v, v) AS doubled FROM v""", arrays=("appended", "popped", "inserted", "erased", "head", "tail", "middle", "reversed", "filled", "doubled",))
 def list_operations(spark, sf):
     v = F.transform(F.slice("embedding", 1, 6), lambda x: F.round(x.cast("double") * 100).cast("bigint"))
     e = embeddings(spark, sf).select("vec_id", v.alias("v"))
