@@ -52,6 +52,8 @@ def main() -> None:
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
         .config("spark.sql.shuffle.partitions", str(2 * int(cpus)))
         .config("spark.sql.session.timeZone", "UTC")
+        # kilobyte-sized shuffles still keep every core busy
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
