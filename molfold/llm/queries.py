@@ -10,11 +10,16 @@ from . import sql
 from .common import table
 from .decontaminate import contamination
 from .secrets import scan_secrets
+from .simhash import near_duplicates
 from .sharding import sharded_documents
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded_documents(table(spark, sf_dir, "documents"), shards=16, seed=2024)
 
@@ -28,6 +33,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, QueryFn] = {
+    "op1_simhash": op1_simhash,
     "op2_sharding": op2_sharding,
     "op3_decontamination": op3_decontamination,
     "op9_secret_scan": op9_secret_scan,
