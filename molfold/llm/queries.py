@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import sql
 from .common import table
 from .decontaminate import contamination
+from .html_text import extract_text
+from .license_scan import scan_licenses
 from .secrets import scan_secrets
 from .simhash import near_duplicates
 from .sharding import sharded_documents
@@ -28,6 +30,14 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -36,6 +46,8 @@ LLM_QUERIES: dict[str, QueryFn] = {
     "op1_simhash": op1_simhash,
     "op2_sharding": op2_sharding,
     "op3_decontamination": op3_decontamination,
+    "op6_license_scan": op6_license_scan,
+    "op7_html_extraction": op7_html_extraction,
     "op9_secret_scan": op9_secret_scan,
 }
 
