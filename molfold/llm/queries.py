@@ -11,6 +11,7 @@ from .common import table
 from .decontaminate import contamination
 from .html_text import extract_text
 from .license_scan import scan_licenses
+from .quality import classify
 from .secrets import scan_secrets
 from .simhash import near_duplicates
 from .sharding import sharded_documents
@@ -38,6 +39,10 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ LLM_QUERIES: dict[str, QueryFn] = {
     "op3_decontamination": op3_decontamination,
     "op6_license_scan": op6_license_scan,
     "op7_html_extraction": op7_html_extraction,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_secret_scan": op9_secret_scan,
 }
 
