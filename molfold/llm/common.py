@@ -38,15 +38,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Rows and their partitions as written to ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, named by ``spark.checkpoint.dir``.
 
     Only a session without that setting (tests) gets a temporary folder.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        wanted = context.getConf().get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        wanted = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="molfold-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Rows and their partitions as written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

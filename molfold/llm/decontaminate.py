@@ -174,3 +174,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **o
         )
         .withColumn("contaminated", F.col("n_hit") > 0)
     )
+
+
+def keep_uncontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` in which no window occurs, with all their columns."""
+    found = benchmark_hits(docs, items, out="__hits__", **options)
+    return found.where(F.size(F.col("__hits__")["spans"]) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

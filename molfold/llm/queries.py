@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import sql
 from .common import table
 from .decontaminate import contamination
 from .html_text import extract_text
 from .license_scan import scan_licenses
+from .mtree import top_products
+from .packing import pack
 from .quality import classify
 from .secrets import scan_secrets
 from .simhash import near_duplicates
@@ -31,6 +35,14 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -51,13 +63,17 @@ LLM_QUERIES: dict[str, QueryFn] = {
     "op1_simhash": op1_simhash,
     "op2_sharding": op2_sharding,
     "op3_decontamination": op3_decontamination,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_topk_search": op5_topk_search,
     "op6_license_scan": op6_license_scan,
     "op7_html_extraction": op7_html_extraction,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_secret_scan": op9_secret_scan,
+    "pipeline": corpus_pipeline.run,
 }
 
 LLM_ORACLES: dict[str, str] = {
     "op3_decontamination": sql.DECONTAMINATION,
+    "op5_topk_search": sql.TOP_PRODUCTS,
     "op9_secret_scan": sql.SECRETS,
 }
