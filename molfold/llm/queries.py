@@ -17,8 +17,9 @@ from .mtree import top_products
 from .packing import pack
 from .quality import classify
 from .secrets import scan_secrets
-from .simhash import near_duplicates
 from .sharding import sharded_documents
+from .simhash import near_duplicates
+from .suffix_dedup import repeats_report
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +60,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_report(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, QueryFn] = {
     "op1_simhash": op1_simhash,
     "op2_sharding": op2_sharding,
@@ -69,6 +74,7 @@ LLM_QUERIES: dict[str, QueryFn] = {
     "op7_html_extraction": op7_html_extraction,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_secret_scan": op9_secret_scan,
+    "op10_suffix_dedup": op10_suffix_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
