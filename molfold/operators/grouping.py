@@ -1,28 +1,15 @@
-"""Grouping into lists without unbounded groups."""
+"""Values gathered by key without unbounded groups."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_ITEMS = 100_000
 
+def grouped_values(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value, n): every distinct value of each key and how often it occurs.
 
-def grouped_lists(df: DataFrame, key: str, value: str, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """(key, block, items): the values of each key as sorted lists.
-
-    A key with at most ``block_items`` rows gives one list, block 0.  A larger
-    key is cut into as many blocks as it needs, so that no task builds a list
-    of unbounded length; together its blocks hold every value.
+    The same form at any size: a key is as many rows as it has values, values
+    are counted before the shuffle, and no task builds a list.
     """
-    rows = df.select(key, value)
-    sizes = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block_items).cast("int").alias("_blocks"))
-    crowded = sizes.where("_blocks > 1")
-    cut = rows.join(crowded, key, "left").withColumn(
-        # a repeated value must spread too, hence the row id
-        "block",
-        F.when(F.col("_blocks").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64(value, F.monotonically_increasing_id()), F.col("_blocks")).cast("int")
-        ),
-    )
-    return cut.groupBy(key, "block").agg(F.sort_array(F.collect_list(value)).alias("items"))
+    return df.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))

@@ -12,10 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where that is unset (local runs) is a temporary folder used.
+    Only a session in one process (``local``) may leave that unset and gets a
+    temporary folder; on a cluster no folder of one machine would do.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="molfold-")
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 

@@ -202,10 +202,10 @@ def membership(spark, sf):
 # ---------------------------------------------------------------- summaries
 
 
-@query("a01_sum_product_fold", """SELECT l_returnflag, round(sum(l_quantity), 2) AS s, round(ln(product(1 + l_tax / 1000)), 6) AS log_product, bit_xor(l_partkey) AS folded FROM lineitem GROUP BY 1""")
+@query("a01_sum_product_fold", """SELECT l_returnflag, round(sum(l_quantity), 2) AS s, round(sum(ln(1 + l_tax / 1000)), 6) AS log_product, bit_xor(l_partkey) AS folded FROM lineitem GROUP BY 1""")
 def sum_product_fold(spark, sf):
     return lineitem(spark, sf).groupBy("l_returnflag").agg(
-        F.round(F.sum("l_quantity"), 2).alias("s"), F.round(F.ln(F.product(1 + F.col("l_tax") / 1000)), 6).alias("log_product"),
+        F.round(F.sum("l_quantity"), 2).alias("s"), F.round(F.sum(F.ln(1 + F.col("l_tax") / 1000)), 6).alias("log_product"),
         F.bit_xor("l_partkey").alias("folded"),
     )
 
@@ -241,9 +241,9 @@ def counter(spark, sf):
     return events(spark, sf).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a06_grouped_lists", "SELECT l_orderkey, 0::INT AS block, list_sort(list(l_linenumber)) AS items FROM lineitem GROUP BY 1", arrays=("items",))
+@query("a06_grouped_lists", "SELECT l_partkey, l_quantity, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def grouped_lists(spark, sf):
-    return G.grouped_lists(lineitem(spark, sf), "l_orderkey", "l_linenumber")
+    return G.grouped_values(lineitem(spark, sf), "l_partkey", "l_quantity")
 
 
 @query("a07_duplicate_keys", "SELECT text, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -343,11 +343,18 @@ def topk_logp(spark, sf):
     return c.orderBy(F.desc("logp"), "mol_id").limit(15)
 
 
-@query("k13_shuffle_and_sample")
+@query("k13_shuffle_and_sample", "SELECT count(*) AS n, count(DISTINCT p_partkey) AS n_distinct, true AS near_a_tenth, 0::BIGINT AS strangers FROM part")
 def shuffle_and_sample(spark, sf):
-    """A seeded tenth of the parts in a seeded random order (no value parity:
-    generators differ)."""
-    return part(spark, sf).select("p_partkey").sample(fraction=0.1, seed=42).orderBy(F.rand(42))
+    """What holds for every seeded shuffle and every seeded tenth: the shuffle
+    is a permutation, the sample has about its size and only given rows."""
+    keys = part(spark, sf).select("p_partkey")
+    shuffled = keys.orderBy(F.rand(42))
+    drawn = keys.sample(fraction=0.1, seed=42)
+    strangers = drawn.join(keys, "p_partkey", "left_anti").agg(F.count(F.lit(1)).alias("strangers"))
+    size = drawn.agg(F.count(F.lit(1)).alias("drawn"))
+    whole = shuffled.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p_partkey").alias("n_distinct"))
+    near = F.abs(size.scalar() - F.col("n") * 0.1) <= 5 * F.sqrt(F.col("n") * 0.09)
+    return whole.select("n", "n_distinct", near.alias("near_a_tenth"), strangers.scalar().alias("strangers"))
 
 
 @query("k14_partition", "SELECT s_suppkey, s_acctbal > 5000 AS first_part FROM supplier")
@@ -369,11 +376,14 @@ def set_operations(spark, sf):
     return out[0].unionAll(out[1]).unionAll(out[2])
 
 
-@query("t01_array_sets", """WITH d AS (SELECT doc_id, list_distinct(string_split(lower(substr(text, 1, 80)), ' ')) AS a, list_distinct(string_split(lower(substr(text, 41, 80)), ' ')) AS b FROM documents)
+@query("t01_array_sets", """WITH d AS (SELECT doc_id, list_distinct(string_split(lower(substr(text, 1, length(text) // 2)), ' ')) AS a, list_distinct(string_split(lower(substr(text, length(text) // 2 + 1)), ' ')) AS b FROM documents)
   SELECT doc_id, len(list_intersect(a, b)) AS n_both, len(list_distinct(list_concat(a, b))) AS n_either, len(list_filter(a, lambda w: NOT list_contains(b, w))) AS n_left FROM d""")
 def array_sets(spark, sf):
-    words = lambda start: F.array_distinct(F.split(F.lower(F.substring("text", start, 80)), " ", -1))
-    d = documents(spark, sf).select("doc_id", words(1).alias("a"), words(41).alias("b"))
+    """Words of the first and the second half of each text."""
+    words = lambda part: F.array_distinct(F.split(F.lower(part), " ", -1))
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, second = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))
+    d = documents(spark, sf).select("doc_id", words(first).alias("a"), words(second).alias("b"))
     n = lambda c: F.size(c).cast("bigint")
     return d.select(
         "doc_id", n(F.array_intersect("a", "b")).alias("n_both"), n(F.array_union("a", "b")).alias("n_either"), n(F.array_except("a", "b")).alias("n_left")
@@ -442,15 +452,22 @@ def math_functions(spark, sf):
     )
 
 
+def _running(values: str):
+    """Cumulative sums, by a fold that keeps the last sum."""
+    start = F.struct(F.lit(0).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("sums"))
+    step = lambda s, x: F.struct((s["last"] + x).alias("last"), F.array_append(s["sums"], s["last"] + x).alias("sums"))
+    return F.aggregate(values, start, step, lambda s: s["sums"])
+
+
 @query("x05_vectors", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE * 1000)::BIGINT) AS v FROM embeddings)
-  SELECT vec_id, list_sum(v)::BIGINT AS total, list_max(v) AS hi, (list_position(v, list_max(v)) - 1)::BIGINT AS argmax, len(list_distinct(v)) AS n_unique, list_sum(v[1:10])::BIGINT AS cum10 FROM v""")
+  SELECT vec_id, list_sum(v)::BIGINT AS total, list_max(v) AS hi, (list_position(v, list_max(v)) - 1)::BIGINT AS argmax, len(list_distinct(v)) AS n_unique, list_transform(range(1, len(v) + 1), lambda i: list_sum(v[1:i])::BIGINT) AS running FROM v""", arrays=("running",))
 def vectors(spark, sf):
     v = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("bigint"))
     e = embeddings(spark, sf).select("vec_id", v.alias("v"))
     total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
     return e.select(
         "vec_id", total(F.col("v")).alias("total"), F.array_max("v").alias("hi"), (F.array_position("v", F.array_max("v")) - 1).alias("argmax"),
-        F.size(F.array_distinct("v")).cast("bigint").alias("n_unique"), total(F.slice("v", 1, 10)).alias("cum10"),
+        F.size(F.array_distinct("v")).cast("bigint").alias("n_unique"), _running("v").alias("running"),
     )
 
 
@@ -497,11 +514,11 @@ def variant(spark, sf):
     return v.select("event_id", kind.alias("kind"), shown.alias("shown"))
 
 
-@query("x09_list_operations", """WITH v AS (SELECT vec_id, list_transform(embedding[1:6], lambda x: round(x::DOUBLE * 100)::BIGINT) AS v FROM embeddings)
-  SELECT vec_id, list_append(v, 99) AS appended, v[1:5] AS popped, list_concat([0], v) AS inserted, list_filter(v, lambda x: x <> v[1]) AS erased, v[1:2] AS head, v[5:6] AS tail, v[3:4] AS middle,
+@query("x09_list_operations", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE * 100)::BIGINT) AS v FROM embeddings)
+  SELECT vec_id, list_append(v, 99) AS appended, v[1:-2] AS popped, list_concat([0], v) AS inserted, list_filter(v, lambda x: x <> v[1]) AS erased, v[1:2] AS head, v[-2:] AS tail, v[3:4] AS middle,
    list_reverse(v) AS reversed, v[1] AS front, v[-1] AS back, (list_position(v, v[-1]) - 1)::BIGINT AS idx, [v[1], v[1], v[1]] AS filled, list_concat(v, v) AS doubled FROM v""", arrays=("appended", "popped", "inserted", "erased", "head", "tail", "middle", "reversed", "filled", "doubled",))
 def list_operations(spark, sf):
-    v = F.transform(F.slice("embedding", 1, 6), lambda x: F.round(x.cast("double") * 100).cast("bigint"))
+    v = F.transform("embedding", lambda x: F.round(x.cast("double") * 100).cast("bigint"))
     e = embeddings(spark, sf).select("vec_id", v.alias("v"))
     big = lambda n: F.lit(n).cast("bigint")
     return e.select(
@@ -512,7 +529,13 @@ def list_operations(spark, sf):
     )
 
 
-@query("x10_random_columns")
+@query("x10_random_columns", """SELECT p_brand, count(*) AS n, true AS uniform_in_range, true AS die_in_range, true AS normal_finite FROM part GROUP BY 1""")
 def random_columns(spark, sf):
-    """Seeded uniform and normal draws per row (no value parity)."""
-    return part(spark, sf).select("p_partkey", F.rand(1).alias("uniform"), F.randn(2).alias("normal"), F.floor(F.rand(3) * 6).alias("die"))
+    """What holds for all seeded uniform, normal and die draws, by brand."""
+    drawn = part(spark, sf).select("p_brand", F.rand(1).alias("uniform"), F.randn(2).alias("normal"), F.floor(F.rand(3) * 6).alias("die"))
+    return drawn.groupBy("p_brand").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bool_and((F.col("uniform") >= 0) & (F.col("uniform") < 1)).alias("uniform_in_range"),
+        F.bool_and(F.col("die").between(0, 5)).alias("die_in_range"),
+        F.bool_and(F.abs("normal") < 40).alias("normal_finite"),
+    )

@@ -2,8 +2,9 @@
 
 Inside Spark use Parquet (:mod:`molfold.operators.search`).  A table is stored
 as a folder of shards, each a complete file written and read by one task.  The
-folder must be on storage shared by all executors.  Shards are written under a
-temporary name and renamed, so a retried task replaces its own output only.
+folder must be on storage shared by all executors and may be a plain path or a
+URI.  Shards are written under a temporary name and moved, so a retried task
+replaces its own output only.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ from __future__ import annotations
 import os
 import struct
 import uuid
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +32,11 @@ ROWS_PER_SHARD = 500_000
 def encode(fps: np.ndarray, counts: np.ndarray, ids: list[str]) -> bytes:
     """One shard: header, words, popcounts, then length-prefixed ids."""
     n, words = fps.shape
-    names = b"".join(struct.pack("<H", len(b)) + b for b in (s.encode()[:MAX_ID_BYTES] for s in ids))
+    coded = [s.encode() for s in ids]
+    for name in coded:
+        if len(name) > MAX_ID_BYTES:
+            raise ValueError(f"id of {len(name)} bytes is longer than the {MAX_ID_BYTES} a file can hold: {name[:60].decode(errors='ignore')}...")
+    names = b"".join(struct.pack("<H", len(b)) + b for b in coded)
     head = struct.pack(HEADER, MAGIC, VERSION, words, 0, n)
     return head + fps.astype("<i8").tobytes() + counts.astype("<i4").tobytes() + names
 
@@ -60,16 +67,24 @@ def decode(data: bytes, words: int):
         end += 2 + length
         if len(data) < end:
             raise ValueError("read failed")
-        ids.append(data[end - length:end].decode(errors="replace"))
+        ids.append(data[end - length:end].decode())
     return fps, counts, ids
 
 
+def storage(path: str) -> tuple[arrow_fs.FileSystem, str]:
+    """File system and path in it, for a URI or a plain path."""
+    parts = urlparse(path)
+    if parts.scheme in ("", "file"):
+        return arrow_fs.LocalFileSystem(), os.path.abspath(parts.path)
+    return arrow_fs.FileSystem.from_uri(path)
+
+
 def write_shards(df: DataFrame, path: str, words: int = 32, rows_per_shard: int = ROWS_PER_SHARD) -> int:
     """Write (id, fp, popcnt) rows; returns the number of rows written."""
-    os.makedirs(path, exist_ok=True)
-
     def write(batches):
         # one shard per rows_per_shard rows, so a task never holds more
+        files, folder = storage(path)
+        files.create_dir(folder, recursive=True)
         held, n_held, part = [], 0, 0
         total = 0
 
@@ -81,10 +96,10 @@ def write_shards(df: DataFrame, path: str, words: int = 32, rows_per_shard: int
             from pyspark import TaskContext
 
             name = f"part-{TaskContext.get().partitionId():05d}-{part:05d}.fpdb"
-            tmp = os.path.join(path, f".{name}.{uuid.uuid4().hex}")
-            with open(tmp, "wb") as f:
+            made = f"{folder}/.{name}.{uuid.uuid4().hex}"
+            with files.open_output_stream(made) as f:
                 f.write(data)
-            os.replace(tmp, os.path.join(path, name))
+            files.move(made, f"{folder}/{name}")
             part += 1
             held, n_held = [], 0
 

@@ -173,7 +173,11 @@ def prop_double(key: str, props: str = "props") -> Column:
 
 
 def format_record(name: str, mol: str, x: str, y: str, z: str, props: str) -> Column:
-    """V2000 text of a record, ``$$$$`` included (charges are not written)."""
+    """V2000 text of a record, ``$$$$`` included (charges are not written).
+
+    The format counts atoms and bonds in three digits; a molecule of more
+    raises an error.
+    """
     syms = "array(" + ", ".join(f"'{s}'" for s in SYMBOLS) + ")"
     atom = (
         f"format_string('%10.4f%10.4f%10.4f %-3s 0  0  0  0  0  0  0  0  0  0  0  0', "
@@ -183,12 +187,14 @@ def format_record(name: str, mol: str, x: str, y: str, z: str, props: str) -> Co
         "format_string('%3d%3d%3d  0', t.a + 1, t.b + 1, "
         "CASE t.bond_order WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 5 THEN 4 ELSE 1 END)"
     )
+    most = f"greatest(size({mol}.atoms), size({mol}.bonds))"
     return F.expr(
+        f"CASE WHEN {most} > 999 THEN raise_error(concat('V2000 holds 999 atoms and bonds at most, ', {name}, ' has ', {most})) ELSE "
         f"array_join(concat(array({name}, '{WRITER}', '', "
         f"format_string('%3d%3d  0  0  0  0  0  0  0  0999 V2000', size({mol}.atoms), size({mol}.bonds))), "
         f"transform({mol}.atoms, (t, i) -> {atom}), transform({mol}.bonds, t -> {bond}), array('M  END'), "
         f"flatten(transform(array_sort(map_entries({props})), e -> array(concat('>  <', e.key, '>'), e.value, ''))), "
-        "array('$$$$')), '\\n')"
+        "array('$$$$')), '\\n') END"
     )
 
 

@@ -117,13 +117,37 @@ def test_ordering_with_hot_keys(spark):
     assert med == sorted(k for k, *_ in got)[1500]
 
 
-def test_grouped_lists_split_hot_keys(spark):
-    df = spark.range(1000).select(F.when(F.col("id") < 400, 0).otherwise(F.col("id")).alias("k"), (F.col("id") % 10).alias("v"))
-    out = grouping.grouped_lists(df, "k", "v", block_items=50).collect()
-    hot = [r for r in out if r.k == 0]
-    assert len(hot) > 1 and max(len(r["items"]) for r in hot) < 200
-    assert sorted(v for r in hot for v in r["items"]) == sorted(i % 10 for i in range(400))
-    assert all(r.block == 0 for r in out if r.k != 0)
+def test_grouped_values_have_one_form_at_any_size(spark):
+    """A key of 250,000 values is grouped like any other."""
+    df = spark.range(300_000).select(F.when(F.col("id") < 250_000, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    out = grouping.grouped_values(df.union(df.where("v < 5")), "k", "v")
+    assert out.columns == ["k", "v", "n"]
+    assert out.where("k = 0").count() == 250_000 and out.where("n = 2").count() == 5
+
+
+def test_long_ids_are_refused(spark, tmp_path):
+    import numpy as np
+
+    with pytest.raises(ValueError, match="70000 bytes"):
+        fpfile.encode(np.zeros((1, 32), np.int64), np.zeros(1, np.int32), ["x" * 70_000])
+
+
+def test_binary_shards_by_uri(spark, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    df = spark.createDataFrame([("a", [1] + [0] * 31, 1)], "id string, fp array<bigint>, popcnt int")
+    path = f"file:{tmp_path}/by-uri"
+    assert fpfile.write_shards(df, path) == 1
+    assert fpfile.read_shards(spark, path).count() == 1
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["by-uri"]
+
+
+def test_sdf_refuses_what_the_format_cannot_count(spark):
+    from molfold.functions.smiles import with_molecule
+
+    df = with_molecule(spark.createDataFrame([("big", "C" * 1001)], "name string, smiles string"), "smiles")
+    text = df.select(sdf.format_record("name", "mol", "array()", "array()", "array()", "map()"))
+    with pytest.raises(Exception, match="999 atoms"):
+        text.collect()
 
 
 def test_staged_screen(spark):
