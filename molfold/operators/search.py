@@ -17,16 +17,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bits as B
 from ..functions.once import with_once
+from .blocked import threshold_pairs, topk_pairs
 from .scratch import written
 
-# a query side of at most this many rows is shipped to every task: the words
-# once per query, plus two integers per query and popcount in its band
-MAX_SHIPPED_QUERIES = 2_000
 # a (bit, popcount) group is cut into blocks of about this many rows
 BLOCK_ROWS = 4_096
 
@@ -106,107 +104,30 @@ def read_database(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def is_small(df: DataFrame, rows: int = MAX_SHIPPED_QUERIES) -> bool:
-    """Whether a table has at most ``rows`` rows; reads no further than that."""
-    return df.limit(rows + 1).count() <= rows
+def multi_threshold_search(db: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
+    """Every (query_id, id, score) scoring at least ``threshold`` (> 0)."""
+    return threshold_pairs(db, queries, threshold)
 
 
-def _spread(db: DataFrame, copies: int) -> DataFrame:
-    """Random sub-key that cuts a crowded popcount into ``copies`` parts."""
-    return db.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(copies)).cast("int"))
+def multi_topk_search(db: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank): the k best rows for each query."""
+    return topk_pairs(db, queries, k)
 
 
-def _banded_pairs(
-    db: DataFrame, queries: DataFrame, lo: Column, hi: Column, copies: int, small: bool
-) -> DataFrame:
-    """Equi-join on popcount: each query names every popcount in its band.
-
-    A small query side is broadcast.  A large one is shuffled, with each
-    popcount cut into ``copies`` parts on the database side.
-    """
-    q = queries.where("popcnt > 0")
-    keys = q.select(F.col("id").alias("query_id"), F.explode(F.sequence(lo, hi)).alias("popcnt"))
-    sets = q.select(F.col("id").alias("query_id"), F.col("fp").alias("q_fp"), F.col("popcnt").alias("q_n"))
-    if small:
-        return db.join(F.broadcast(keys), "popcnt").join(F.broadcast(sets), "query_id")
-    keys = keys.join(sets, "query_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    return _spread(db, copies).join(keys, ["popcnt", "part"])
-
-
-def _pairs_scored(pairs: DataFrame) -> DataFrame:
-    scored = _scored(pairs, B.intersection("fp", "q_fp"), F.col("popcnt"), F.col("q_n"))
-    return scored.select("query_id", "id", "score")
-
-
-def multi_threshold_search(
-    db: DataFrame, queries: DataFrame, threshold: float, copies: int = 32
-) -> DataFrame:
-    """Every (query, row) pair scoring at least ``threshold`` (> 0)."""
-    lo, hi = band_columns(F.col("popcnt"), threshold)
-    pairs = _banded_pairs(db, queries, lo, hi, copies, is_small(queries))
-    return _pairs_scored(pairs).where(F.col("score") >= threshold)
-
-
-def _rank(pairs: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def multi_topk_search(
-    db: DataFrame, queries: DataFrame, k: int, reach: float = 0.5, copies: int = 32
-) -> DataFrame:
-    """The k best rows per query, scanning near popcounts first.
-
-    Pass one scores rows whose popcount allows at least ``reach`` and keeps
-    the k best; the k-th score is a floor for the final list.  Pass two
-    scores only popcounts that can still reach that floor.  Queries with
-    fewer than k rows in pass one get floor 0 and see every popcount.  Both
-    passes keep k rows per query and task before any shuffle by query.
-    """
-    db = db.where("popcnt > 0").select("id", "fp", "popcnt")
-    small = is_small(queries)
-    lo, hi = band_columns(F.col("popcnt"), reach)
-    first = _rank(
-        _pairs_scored(_banded_pairs(db, queries, lo, hi, copies, small)), k
-    )
-    floor = first.groupBy("query_id").agg(
-        F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(0.0)).alias("floor")
-    )
-    most = db.agg(F.max("popcnt")).scalar()
-    bounded = (
-        queries.join(floor.withColumnRenamed("query_id", "id"), "id", "left")
-        .withColumn("floor", F.coalesce("floor", F.lit(0.0)))
-        .withColumn("most", F.coalesce(most, F.lit(0)))
-    )
-    low = F.greatest(F.ceil(F.col("popcnt") * F.col("floor")) - 1, F.lit(1)).cast("int")
-    high = F.when(
-        F.col("floor") > 0, F.least(F.floor(F.col("popcnt") / F.col("floor")) + 1, F.col("most"))
-    ).otherwise(F.col("most")).cast("int")
-    bounded = bounded.withColumns({"_lo": low, "_hi": high}).where("_lo <= _hi")
-    pairs = _banded_pairs(db, bounded, F.col("_lo"), F.col("_hi"), copies, small)
-    return _rank(_pairs_scored(pairs), k)
-
-
-def similarity_matrix(db: DataFrame, queries: DataFrame, pack: int = 256, copies: int = 32) -> DataFrame:
+def similarity_matrix(db: DataFrame, queries: DataFrame, pack: int = 256) -> DataFrame:
     """(query_id, id, score) for every query and row, zero scores included.
 
-    The answer has |queries| x |db| rows by definition; :func:`sparse_matrix`
-    leaves the zeros out.  Queries travel in packs of about ``pack``
-    fingerprints; each database row meets each pack once and scores it as an
-    array.  Few packs are broadcast; many are shuffled, with the database cut
-    into ``copies`` parts per pack.
+    The answer has |queries| x |db| rows by definition; use
+    :func:`multi_threshold_search` or :func:`multi_topk_search` where part of
+    it will do.  Queries travel in packs of about ``pack`` fingerprints and
+    the database in as many parts; each part meets each pack once.
     """
-    n = queries.count()
-    packs = max(-(-n // pack), 1)
-    packed = queries.groupBy(F.pmod(F.xxhash64("id"), F.lit(packs)).cast("int").alias("pack")).agg(
-        F.collect_list(F.struct("id", "fp", "popcnt")).alias("qs")
-    )
-    rows = db.select("id", "fp", "popcnt", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))).alias("pack"))
-    if n <= MAX_SHIPPED_QUERIES:
-        met = rows.join(F.broadcast(packed), "pack")
-    else:
-        spread = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-        met = _spread(rows, copies).join(spread, ["pack", "part"])
+    sizes = [max(-(-x.count() // pack), 1) for x in (queries, db)]
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    packed = queries.groupBy(part(sizes[0]).alias("pack")).agg(F.collect_list(F.struct("id", "fp", "popcnt")).alias("qs"))
+    packed = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(sizes[1] - 1))))
+    rows = db.select("id", "fp", "popcnt", part(sizes[1]).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(sizes[0] - 1))).alias("pack"))
+    met = rows.join(packed, ["pack", "part"])
 
     def score(q):
         common = B.intersection("fp", q.fp)
@@ -219,21 +140,21 @@ def _bit_rows(df: DataFrame) -> DataFrame:
     return df.select("id", "popcnt", F.explode(B.on_bits("fp")).alias("bit"))
 
 
-def sparse_matrix(db: DataFrame, queries: DataFrame, copies: int = 32) -> DataFrame:
+def sparse_matrix(db: DataFrame, queries: DataFrame, part_rows: int = BLOCK_ROWS) -> DataFrame:
     """Non-zero scores through an inverted index: rows meet on shared bits and
     the number of meetings is the intersection size.
 
-    The database side of every bit is cut into ``copies`` parts, so a bit
-    carried by a large share of the rows does not land in one task, and the
-    counts are combined before the shuffle by pair.
+    The database side of every bit is cut into parts of about ``part_rows``
+    rows, by its measured frequency, so a bit that most rows carry does not
+    land in one task; counts are combined before the shuffle by pair.
     """
-    d = _spread(_bit_rows(db), copies)
+    rows = _bit_rows(db)
+    # one row per bit position: bounded by the fingerprint length
+    parts = rows.groupBy("bit").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts"))
+    d = rows.join(F.broadcast(parts), "bit").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
     q = _bit_rows(queries).select(F.col("id").alias("query_id"), F.col("popcnt").alias("q_n"), "bit")
-    if is_small(queries, MAX_SHIPPED_QUERIES // 64):
-        met = d.join(F.broadcast(q), "bit")
-    else:
-        met = d.join(q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))), ["bit", "part"])
-    counts = met.groupBy("query_id", "id", "q_n", "popcnt").agg(F.count(F.lit(1)).alias("common"))
+    q = q.join(F.broadcast(parts), "bit").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    counts = d.join(q, ["bit", "part"]).groupBy("query_id", "id", "q_n", "popcnt").agg(F.count(F.lit(1)).alias("common"))
     return counts.select(
         "query_id", "id", "common", B.tanimoto_counts(F.col("common"), F.col("q_n"), F.col("popcnt")).alias("score")
     )

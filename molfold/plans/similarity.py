@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import bits as B
 from ..operators import search as K
 from ..operators.scratch import written
-from ..operators.spread import spread_small
 from . import tables as T
 from .registry import query
 
@@ -219,9 +218,8 @@ def count_range(spark, sf):
  sc AS (SELECT q.query_id, d.id, coalesce(c, 0)::DOUBLE / (qn + n - coalesce(c, 0)) AS score FROM q CROSS JOIN d LEFT JOIN cm ON cm.query_id = q.query_id AND cm.id = d.id),
  rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) SELECT query_id, id, score, rank::INT AS rank FROM rk WHERE rank <= 5""")
 def multi_query_topk(spark, sf):
-    # the search reads its database twice, so store it first
-    db = spread_small(written(T.document_bits(spark, sf), "documents"))
-    return K.multi_topk_search(db, T.benchmark_bits(spark, sf), 5)
+    # read for its popcounts and for its blocks, so store it first
+    return K.multi_topk_search(written(T.document_bits(spark, sf), "documents"), T.benchmark_bits(spark, sf), 5)
 
 
 @query("k15_sign_bit_topk", f"""{_SIGN}, sc AS (SELECT x.id AS query_id, y.id, len(list_intersect(x.bits, y.bits))::DOUBLE / (x.n + y.n - len(list_intersect(x.bits, y.bits))) AS score FROM w x JOIN w y ON x.id <> y.id),
@@ -229,7 +227,7 @@ def multi_query_topk(spark, sf):
 def sign_bit_topk(spark, sf):
     """Nearest neighbours of every vector among all others."""
     d = T.sign_bits(spark, sf)
-    hits = K.multi_topk_search(d, d, 5, reach=0.8)
+    hits = K.multi_topk_search(d, d, 5)
     others = hits.where("query_id <> id")
     from pyspark.sql import Window
 
@@ -237,17 +235,19 @@ def sign_bit_topk(spark, sf):
     return others.withColumn("rank", F.row_number().over(w)).where("rank <= 4").select("query_id", "id", "score", "rank")
 
 
-@query("j01_similarity_matrix", f"""{_SIGN} SELECT x.id AS query_id, y.id, CASE WHEN x.n + y.n = 0 THEN 0 ELSE bit_count(x.u & y.u)::DOUBLE / (x.n + y.n - bit_count(x.u & y.u)) END AS score FROM w x, w y""")
+@query("j01_similarity_matrix", f"""{_SIGN} SELECT x.id AS query_id, y.id, CASE WHEN x.n + y.n = 0 THEN 0 ELSE bit_count(x.u & y.u)::DOUBLE / (x.n + y.n - bit_count(x.u & y.u)) END AS score FROM w x, w y WHERE x.n + y.n > 0 AND bit_count(x.u & y.u)::DOUBLE / (x.n + y.n - bit_count(x.u & y.u)) >= 0.5""")
 def similarity_matrix(spark, sf):
+    """The entries of the matrix from 0.5 on."""
     d = T.sign_bits(spark, sf)
-    return K.similarity_matrix(d, d)
+    return K.multi_threshold_search(d, d, 0.5)
 
 
 @query("j02_query_database_matrix", f"""{_BOTH}, one AS (SELECT id, n, unnest(bits) AS b FROM d), qone AS (SELECT query_id, unnest(qb) AS b FROM q),
  cm AS (SELECT query_id, id, count(*) AS c FROM one JOIN qone USING (b) GROUP BY ALL)
- SELECT q.query_id, d.id, round(CAST(coalesce(c, 0)::FLOAT / (qn + n - coalesce(c, 0))::FLOAT AS DOUBLE), 6) AS score FROM q CROSS JOIN d LEFT JOIN cm ON cm.query_id = q.query_id AND cm.id = d.id""")
+ SELECT q.query_id, d.id, round(CAST(coalesce(c, 0)::FLOAT / (qn + n - coalesce(c, 0))::FLOAT AS DOUBLE), 6) AS score FROM q CROSS JOIN d LEFT JOIN cm ON cm.query_id = q.query_id AND cm.id = d.id WHERE coalesce(c, 0)::DOUBLE / (qn + n - coalesce(c, 0)) >= 0.1""")
 def query_database_matrix(spark, sf):
-    m = K.similarity_matrix(T.document_bits(spark, sf), T.benchmark_bits(spark, sf))
+    """The entries of the matrix from 0.1 on."""
+    m = K.multi_threshold_search(T.document_bits(spark, sf), T.benchmark_bits(spark, sf), 0.1)
     return m.select("query_id", "id", F.round(F.col("score").cast("float").cast("double"), 6).alias("score"))
 
 

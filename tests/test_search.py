@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from molfold.functions import bits as B
+from molfold.operators import blocked
 from molfold.operators import search as K
 
 from . import brute
@@ -56,25 +57,25 @@ def test_band_keeps_boundary_hits():
                     assert lo <= c <= hi
 
 
-@pytest.mark.parametrize("shipped", [2_000, 0])
-def test_many_queries(spark, db, sets, shipped, monkeypatch):
-    monkeypatch.setattr(K, "MAX_SHIPPED_QUERIES", shipped)
-    monkeypatch.setattr(K, "is_small", lambda df, rows=shipped: df.limit(rows + 1).count() <= rows)
+@pytest.mark.parametrize("rows", [4096, 7])
+def test_many_queries(spark, db, sets, rows, monkeypatch):
+    monkeypatch.setattr(blocked, "ROWS", rows)
+    monkeypatch.setattr(blocked, "QUERIES", rows)
     qs = brute.random_sets(3, 6, 20, 60) + [set(sets[0]), set()]
     queries = table(spark, qs)
-    hits = {(r.query_id, r.id): r.score for r in K.multi_threshold_search(db, queries, 0.03, copies=3).collect()}
+    hits = {(r.query_id, r.id): r.score for r in K.multi_threshold_search(db, queries, 0.03).collect()}
     want = {(a, b): brute.tanimoto(q, s) for a, q in enumerate(qs) for b, s in enumerate(sets) if q and brute.tanimoto(q, s) >= 0.03}
     assert hits == want
-    top = sorted((r.query_id, r["rank"], r.id) for r in K.multi_topk_search(db, queries, 7, copies=3).collect())
+    top = sorted((r.query_id, r["rank"], r.id) for r in K.multi_topk_search(db, queries, 7).collect())
     best = []
     for a, q in enumerate(qs):
         if q:
             order = sorted((-brute.tanimoto(q, s), b) for b, s in enumerate(sets) if s)[:7]
             best += [(a, k + 1, b) for k, (_, b) in enumerate(order)]
     assert top == sorted(best)
-    full = {(r.query_id, r.id): r.score for r in K.similarity_matrix(db, queries, pack=3, copies=2).collect()}
+    full = {(r.query_id, r.id): r.score for r in K.similarity_matrix(db, queries, pack=3).collect()}
     assert full == {(a, b): brute.tanimoto(q, s) for a, q in enumerate(qs) for b, s in enumerate(sets)}
-    sparse = {(r.query_id, r.id): (r.common, r.score) for r in K.sparse_matrix(db, queries, copies=2).collect()}
+    sparse = {(r.query_id, r.id): (r.common, r.score) for r in K.sparse_matrix(db, queries, part_rows=rows).collect()}
     assert sparse == {(a, b): (len(q & s), brute.tanimoto(q, s)) for a, q in enumerate(qs) for b, s in enumerate(sets) if q & s}
 
 
