@@ -88,6 +88,19 @@ def topk_search(db: DataFrame, words: Sequence[int], k: int) -> DataFrame:
     )
 
 
+def superset_search(db: DataFrame, words: Sequence[int]) -> DataFrame:
+    """Rows whose fingerprint has every bit of ``words``.
+
+    A row of fewer bits cannot, so the popcount bound reaches the scan.  Only
+    words that ask for a bit are looked at.
+    """
+    asked = [(k, w) for k, w in enumerate(words) if w]
+    rows = db.where(F.col("popcnt") >= _popcount_words(words))
+    for k, w in asked:
+        rows = rows.where(F.get("fp", F.lit(k)).bitwiseAND(F.lit(w)) == w)
+    return rows
+
+
 def count_range(db: DataFrame, lo: int, hi: int) -> DataFrame:
     return db.where(F.col("popcnt").between(lo, hi))
 

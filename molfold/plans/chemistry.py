@@ -56,9 +56,9 @@ def bracket_atoms(spark, sf):
     AND (mol_id, a, b) NOT IN (SELECT mol_id, max(a), b FROM bonds GROUP BY mol_id, b)""", ints=("a", "b",))
 def ring_closures(spark, sf):
     """Closing bonds: the extra bonds to an atom that already has a predecessor."""
-    bonds = G.explode_bonds(T.molecules(spark, sf), "mol_id")
-    first = bonds.groupBy("mol_id", "b").agg(F.max("a").alias("a"))
-    return bonds.join(first, ["mol_id", "a", "b"], "left_anti").select("mol_id", "a", "b", "bond_order")
+    m = T.molecules(spark, sf).where("mol IS NOT NULL")
+    closing = F.expr("filter(mol.bonds, x -> exists(mol.bonds, y -> y.b = x.b AND y.a > x.a))")
+    return m.select("mol_id", F.explode(closing).alias("bond")).select("mol_id", "bond.a", "bond.b", "bond.bond_order")
 
 
 @query("p04_implicit_hydrogens", f"""{_G} SELECT mol_id, CAST(sum(num_h) AS BIGINT) AS implicit_h, count(*) AS atoms
@@ -181,10 +181,8 @@ def check_smiles(spark, sf):
 
 @query("p15_parse_batch", f"""{_S} SELECT broken AS failed, count(*) AS n, min(smiles) AS first_smiles FROM smi GROUP BY broken""")
 def parse_batch(spark, sf):
-    m = T.molecules(spark, sf)
-    good = m.where("error IS NULL").select(F.lit(False).alias("failed"), "smiles")
-    bad = m.where("error IS NOT NULL").select(F.lit(True).alias("failed"), "smiles")
-    return good.unionAll(bad).groupBy("failed").agg(F.count(F.lit(1)).alias("n"), F.min("smiles").alias("first_smiles"))
+    failed = F.col("error").isNotNull().alias("failed")
+    return T.molecules(spark, sf).groupBy(failed).agg(F.count(F.lit(1)).alias("n"), F.min("smiles").alias("first_smiles"))
 
 
 @query("p16_describe_tree", f"""{_TOKENS} SELECT mol_id, 'Branch(' || string_agg(CASE kind WHEN 'Atom' THEN 'Atom(' || text || ') '

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits as B
 from ..operators import search as K
-from ..operators.scratch import written
+from ..operators.scratch import scratch_path, written
 from . import tables as T
 from .registry import query
 
@@ -188,6 +188,35 @@ def threshold_unpruned(spark, sf):
     return K.threshold_search(T.document_bits(spark, sf), text_words(QUERY_TEXT), 0.05, use_pruning=False)
 
 
+def _stored(spark, sf):
+    """The documents' fingerprints as a library on disk, in popcount order."""
+    path = scratch_path(spark, "library")
+    K.write_database(T.document_bits(spark, sf), path)
+    return K.read_database(spark, path)
+
+
+@query("k01_threshold_stored", f"{_ONE} SELECT id, score FROM sc WHERE score >= 0.2")
+def threshold_stored(spark, sf):
+    """Against a stored library: the popcount band reaches the scan."""
+    return K.threshold_search(_stored(spark, sf), text_words(QUERY_TEXT), 0.2)
+
+
+@query("k02_topk_stored", f"{_ONE} SELECT id, score FROM sc WHERE n > 0 ORDER BY score DESC, id LIMIT 10")
+def topk_stored(spark, sf):
+    return K.topk_search(_stored(spark, sf), text_words(QUERY_TEXT), 10)
+
+
+@query("k16_contains_bits", f"{_ONE} SELECT id, n AS popcnt FROM cm WHERE c >= 3 AND id IN (SELECT id FROM d, (SELECT qb[1:3] AS three FROM (SELECT list_sort(qb) AS qb FROM q)) WHERE len(list_intersect(bits, three)) = 3)")
+def contains_bits(spark, sf):
+    """Rows of a stored library that have all of a query's bits: the filter before a substructure test."""
+    low = sorted({64 * k + j for k, w in enumerate(text_words(QUERY_TEXT)) for j in range(64) if w >> j & 1})[:3]
+    words = [0] * 32
+    for bit in low:
+        words[bit // 64] |= 1 << (bit % 64)
+    found = K.superset_search(_stored(spark, sf), [w - (1 << 64) if w >> 63 else w for w in words])
+    return found.select("id", F.col("popcnt").cast("bigint").alias("popcnt"))
+
+
 @query("k02_topk_search", f"{_ONE} SELECT id, score FROM sc ORDER BY score DESC, id LIMIT 25")
 def topk_search(spark, sf):
     return K.topk_search(T.document_bits(spark, sf), text_words(QUERY_TEXT), 25)

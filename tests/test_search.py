@@ -146,3 +146,22 @@ def test_database_layout(spark, db, tmp_path):
     plan = K.threshold_search(back, brute.words(QUERY), 0.5)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(popcnt" in plan and "LessThanOrEqual(popcnt" in plan
     assert K.count_range(back, 30, 50).count() == db.where(F.col("popcnt").between(30, 50)).count()
+
+
+def test_stored_library_is_pruned_by_the_scan(spark, db, sets, tmp_path):
+    K.write_database(db, str(tmp_path / "library"))
+    stored = K.read_database(spark, str(tmp_path / "library"))
+    words = brute.words(set(sets[0]))
+    for threshold in (0.5, 0.8):
+        found = K.threshold_search(stored, words, threshold)
+        assert "GreaterThanOrEqual(popcnt" in found._jdf.queryExecution().executedPlan().toString()
+        assert {r.id for r in found.collect()} == {b for b, s in enumerate(sets) if brute.tanimoto(sets[0], s) >= threshold}
+    part = set(sorted(sets[0])[:4])
+    inside = K.superset_search(stored, brute.words(part))
+    assert "GreaterThanOrEqual(popcnt" in inside._jdf.queryExecution().executedPlan().toString()
+    assert {r.id for r in inside.collect()} == {b for b, s in enumerate(sets) if part <= set(s)}
+
+
+def test_threshold_zero_is_refused(db):
+    with pytest.raises(ValueError):
+        K.multi_threshold_search(db, db, 0)
