@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits as B
 from ..operators import search as K
+from ..operators.clusters import ClusterIndex
 from ..operators.scratch import scratch_path, written
 from . import tables as T
 from .registry import query
@@ -228,6 +229,12 @@ def parallel_threshold_counts(spark, sf):
     return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.max("score").alias("best"))
 
 
+@query("j09_cluster_search", f"{_SCORED} SELECT query_id, id, score FROM sc WHERE score >= 0.2")
+def cluster_search(spark, sf):
+    """Exact search that skips clusters by the triangle bound."""
+    return ClusterIndex(T.document_bits(spark, sf)).search(T.benchmark_bits(spark, sf), 0.2)
+
+
 @query("k04_sorted_by_popcount", f"{_DOCS} SELECT id, n AS popcnt, row_number() OVER (ORDER BY n, id) - 1 AS position FROM d")
 def sorted_by_popcount(spark, sf):
     """Position of each row in popcount order, from per-popcount offsets."""

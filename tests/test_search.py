@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from molfold.functions import bits as B
-from molfold.operators import blocked
+from molfold.operators import blocked, clusters
 from molfold.operators import search as K
 
 from . import brute
@@ -165,3 +165,14 @@ def test_stored_library_is_pruned_by_the_scan(spark, db, sets, tmp_path):
 def test_threshold_zero_is_refused(db):
     with pytest.raises(ValueError):
         K.multi_threshold_search(db, db, 0)
+
+
+def test_cluster_search(spark, db, sets, monkeypatch):
+    monkeypatch.setattr(clusters, "ROWS", 9)
+    qs = brute.random_sets(5, 8, 20, 60) + [set(sets[0]), set()]
+    for pivots in (1, 12):
+        index = clusters.ClusterIndex(db, pivots)
+        for threshold in (0.05, 0.6, 1.0):
+            got = {(r.query_id, r.id): r.score for r in index.search(table(spark, qs), threshold).collect()}
+            assert got == {(a, b): brute.tanimoto(q, s) for a, q in enumerate(qs) for b, s in enumerate(sets) if q and brute.tanimoto(q, s) >= threshold}
+    assert clusters.ClusterIndex(db.where("false")).search(table(spark, qs), 0.5).count() == 0
