@@ -104,7 +104,8 @@ def _as_lists(rows: np.ndarray, values: np.ndarray, mol: pa.Array, keys=None):
     null = mol.is_null().to_numpy(zero_copy_only=False)
     mask = pa.array(null) if null.any() else None
     if keys is None:
-        return pa.ListArray.from_arrays(pa.array(bounds), pa.array(values), mask=mask)
+        values = values if isinstance(values, pa.Array) else pa.array(values)
+        return pa.ListArray.from_arrays(pa.array(bounds), values, mask=mask)
     offsets = pa.array(bounds)
     if mask is not None:
         offsets = pa.array([None if i < len(null) and null[i] else int(v) for i, v in enumerate(bounds)], pa.int32())
@@ -129,6 +130,23 @@ def morgan_hashes(mol: str, radius: int = RADIUS, features: bool = False, chiral
     return hashes(F.col(f"{mol}.atoms"), F.col(f"{mol}.bonds"))
 
 
+def morgan_first_radii(mol: str, radius: int = RADIUS, features: bool = False, chirality: bool = False) -> Column:
+    """Distinct hashes with the smallest radius that gives each: all smaller sweeps in one pass."""
+
+    @F.arrow_udf("array<struct<h:bigint,r:int>>")
+    def first(m: pa.Array, bonds: pa.Array) -> pa.Array:
+        row, layers = hash_layers(m, bonds, radius, features, chirality)
+        rows = np.tile(row, len(layers)).astype(np.uint64)
+        # layers follow each other, so the first place of a hash is in its smallest radius
+        keys, at = np.unique((rows << np.uint64(32)) | np.concatenate(layers).astype(np.uint64), return_index=True)
+        values = pa.StructArray.from_arrays(
+            [pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array((at // max(len(row), 1)).astype(np.int32))], names=["h", "r"]
+        )
+        return _as_lists((keys >> np.uint64(32)).astype(np.int64), values, m)
+
+    return first(F.col(f"{mol}.atoms"), F.col(f"{mol}.bonds"))
+
+
 def morgan_counts(mol: str, radius: int = RADIUS, features: bool = False, chirality: bool = False) -> Column:
     """Neighbourhood hash -> number of atoms and radii producing it."""
 

@@ -558,15 +558,15 @@ def collision_report(spark, sf):
   SELECT mol_id, radius, count(DISTINCT h) AS features, count(DISTINCT h % 2048) AS bits_set FROM layers JOIN sweep ON r <= radius GROUP BY ALL""")
 def radius_sweep(spark, sf):
     m = _parsed(spark, sf)
-    cols = [M.morgan_hashes("mol", radius=r).alias(f"h{r}") for r in range(5)]
+    within = lambda r: F.transform(F.filter("found", lambda f: f["r"] <= r), lambda f: f["h"])
     entries = [
         F.struct(
-            F.lit(r).alias("radius"), F.size(f"h{r}").cast("bigint").alias("features"),
-            F.size(B.fold_hashes(f"h{r}", 2048)).cast("bigint").alias("bits_set"),
+            F.lit(r).alias("radius"), F.size(within(r)).cast("bigint").alias("features"),
+            F.size(F.array_distinct(F.transform(within(r), lambda h: h % 2048))).cast("bigint").alias("bits_set"),
         )
         for r in range(5)
     ]
-    return m.select("mol_id", *cols).select("mol_id", F.inline(F.array(*entries)))
+    return m.select("mol_id", M.morgan_first_radii("mol", radius=4).alias("found")).select("mol_id", F.inline(F.array(*entries)))
 
 
 @query("f11_atom_pairs", f"""{_GR}, {_WALK.format(where='')} SELECT DISTINCT a.mol_id, least(a.z, b.z) * 1000000 + greatest(a.z, b.z) * 1000 + d AS pair
