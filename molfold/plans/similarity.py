@@ -225,7 +225,7 @@ def topk_search(spark, sf):
 
 @query("k03_parallel_threshold_counts", f"{_SCORED} SELECT query_id, count(*) AS hits, max(score) AS best FROM sc WHERE score >= 0.2 GROUP BY 1")
 def parallel_threshold_counts(spark, sf):
-    hits = K.multi_threshold_search(T.document_bits(spark, sf), T.benchmark_bits(spark, sf), 0.2)
+    hits = K.multi_threshold_search(written(T.document_bits(spark, sf), "documents"), T.benchmark_bits(spark, sf), 0.2)
     return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.max("score").alias("best"))
 
 
@@ -283,7 +283,7 @@ def similarity_matrix(spark, sf):
  SELECT q.query_id, d.id, round(CAST(coalesce(c, 0)::FLOAT / (qn + n - coalesce(c, 0))::FLOAT AS DOUBLE), 6) AS score FROM q CROSS JOIN d LEFT JOIN cm ON cm.query_id = q.query_id AND cm.id = d.id WHERE coalesce(c, 0)::DOUBLE / (qn + n - coalesce(c, 0)) >= 0.1""")
 def query_database_matrix(spark, sf):
     """The entries of the matrix from 0.1 on."""
-    m = K.multi_threshold_search(T.document_bits(spark, sf), T.benchmark_bits(spark, sf), 0.1)
+    m = K.multi_threshold_search(written(T.document_bits(spark, sf), "documents"), T.benchmark_bits(spark, sf), 0.1)
     return m.select("query_id", "id", F.round(F.col("score").cast("float").cast("double"), 6).alias("score"))
 
 
