@@ -38,15 +38,11 @@ SEED = 42
 CHUNK = 1 << 16
 
 
-def simhash(text: bytes, width: int = 3) -> int:
-    """Fingerprint of a text as a signed 64-bit number, 0 without words.
-
-    ASCII capitals count as small letters; words are split at ASCII white
-    space; a text of fewer than ``width`` words is one shingle.
-    """
+def shingle_hashes(text: bytes, width: int) -> Iterator[np.ndarray]:
+    """Hashes of all shingles of a text, ``CHUNK`` at a time; nothing without words."""
     words = text.translate(LOWER).split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1]).tolist()
@@ -55,11 +51,22 @@ def simhash(text: bytes, width: int = 3) -> int:
         cuts = list(zip(starts[: len(words) - width + 1], ends[width - 1 :], strict=True))
     else:
         cuts = [(0, len(joined))]
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
+    digest = xxhash.xxh64_intdigest
     for k in range(0, len(cuts), CHUNK):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in cuts[k : k + CHUNK]], "<u8")
+        yield np.array([digest(joined[a:b], SEED) for a, b in cuts[k : k + CHUNK]], "<u8")
+
+
+def simhash(text: bytes, width: int = 3) -> int:
+    """Fingerprint of a text as a signed 64-bit number, 0 without words.
+
+    ASCII capitals count as small letters; words are split at ASCII white
+    space; a text of fewer than ``width`` words is one shingle.
+    """
+    ones, count = np.zeros(BITS, np.int64), 0
+    for hashes in shingle_hashes(text, width):
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(cuts), bitorder="little").view("<i8")[0])
+        count += len(hashes)
+    return int(np.packbits(2 * ones > count, bitorder="little").view("<i8")[0])
 
 
 def fingerprint(text: Column, width: int = 3) -> Column:
@@ -169,30 +176,34 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def row_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """Two hashes that tell a row from all others but its copies."""
+    return F.xxhash64(id_col, text_col).alias("__row__"), F.xxhash64(text_col, id_col).alias("__row2__")
+
+
+def keep_first(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one row for each root of ``members`` (doc_id, __row__, __row2__, root)."""
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row__", "__row2__")).alias("first")
+    best = members.groupBy("root").agg(first).select("first.__row__", "first.__row2__")
+    same = Window.partitionBy("__row__", "__row2__").orderBy(F.lit(0))
+    keys = row_keys(id_col, text_col)
+    return (
+        docs.withColumns({"__row__": keys[0], "__row2__": keys[1]})
+        .join(best, ["__row__", "__row2__"])
+        .withColumn("__nth__", F.row_number().over(same))
+        .where("__nth__ = 1")
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
+    )
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each group: that of the smallest id, nulls last.
 
     Of several rows with that id one is kept, the same whenever it runs unless
     they are equal.  All columns stay, whatever their names.
     """
-    row = (F.xxhash64(id_col, text_col).alias("__row__"), F.xxhash64(text_col, id_col).alias("__row2__"))
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row)
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row_keys(id_col, text_col))
     prints = checkpointed(keyed.select("doc_id", "__row__", "__row2__", fingerprint(F.col("text"), options.pop("width", 3)).alias("fp")))
     distinct = checkpointed(prints.select("fp").distinct())
     roots = components(near_links(distinct, **options)).withColumnRenamed("node", "fp")
-    first = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "__row__", "__row2__")
-    best = (
-        prints.join(roots, "fp", "left")
-        .withColumn("root", F.coalesce("root", "fp"))
-        .withColumn("__nth__", F.row_number().over(first))
-        .where("__nth__ = 1")
-        .select("__row__", "__row2__")
-    )
-    same = Window.partitionBy("__row__", "__row2__").orderBy(F.lit(0))
-    return (
-        docs.withColumns({"__row__": F.xxhash64(id_col, text_col), "__row2__": F.xxhash64(text_col, id_col)})
-        .join(best, ["__row__", "__row2__"])
-        .withColumn("__nth__", F.row_number().over(same))
-        .where("__nth__ = 1")
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    return keep_first(docs, prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), id_col, text_col)
