@@ -16,7 +16,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -52,8 +52,12 @@ AROUND = frozenset(
     "reply respond share sharing social related recommended newsletter subscribe subscription signup login widget pagination pager skip "
     "complementary contentinfo alert search".split()
 )
-#: Words that save an element whose name also has one of AROUND, as in ``post-header``.
+#: Words that save an element whose name also has one of AROUND, if they end a name (``search-result-body``) or are one by themselves.
 OWN = frozenset("article post entry story main content body text".split())
+#: A word of AROUND after one of these tells of the layout, as in ``has-sidebar``.
+WITH = frozenset("has no with without".split())
+#: Words of AROUND that may name a wrapper of the whole page: one that holds most of the unlinked text stays.
+LAYOUT = frozenset("sidebar menu nav navbar navigation toolbar topbar masthead search social share sharing widget skip".split())
 HOLDERS = ("article", "main")
 
 
@@ -63,10 +67,26 @@ def marks(attributes: str) -> set[str]:
     return {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", names)} if names else set()
 
 
-def is_around(name: str, attributes: str, inside_article: bool) -> bool:
-    """Whether an element is a menu, notice, advert, form, comment list or the like."""
+def around_words(attributes: str) -> set[str]:
+    """The words of AROUND that mark the element, none if a name of its own saves it."""
+    found: set[str] = set()
+    for names in NAMES.findall(attributes):
+        for name in "".join(names).split():
+            words = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", name)]
+            telling = [w for k, w in enumerate(words) if w in OWN or w in AROUND and not (k and words[k - 1] in WITH)]
+            if telling and telling[-1] in OWN:
+                return set()
+            found |= AROUND.intersection(telling)
+    return found
+
+
+def is_around(name: str, attributes: str, inside_article: bool, held: Callable[[], tuple[int, float]] = lambda: (0, 0.0)) -> bool:
+    """Whether an element is a menu, notice, advert, form, comment list or the like.
+
+    ``held`` gives the articles and mains inside it and its share of the page's unlinked text.
+    """
     if name in APART:
-        return True
+        return name != "form" or held()[0] == 0
     if name in ("html", "body", "article", "main"):
         return name == "article" and bool(marks(attributes) & {"comment", "comments"})
     if name == "header":
@@ -75,8 +95,54 @@ def is_around(name: str, attributes: str, inside_article: bool) -> bool:
     if not words:
         return False
     if words & {"header"} and not words & OWN and not inside_article:
-        return True
-    return bool(words & AROUND)
+        return held()[0] == 0
+    around = around_words(attributes)
+    if not around:
+        return False
+    articles, share = held()
+    return not articles and not (around <= LAYOUT and share > 0.5)
+
+
+def contents(page: str) -> dict[int, tuple[int, float]]:
+    """By the end of its start tag, what each element holds: articles and mains, and its share of the unlinked text.
+
+    Elements that may stay open, as paragraphs do, are left out.
+    """
+    out: dict[int, tuple[int, int]] = {}
+    stack: list[tuple[str, int, int, int]] = []
+    names: dict[str, int] = {}
+    holders = chars = links = at = 0
+
+    def close() -> None:
+        name, start, before, had = stack.pop()
+        names[name] -= 1
+        out[start] = (holders - before, chars - had)
+
+    while m := TAG.search(page, at):
+        if not links:
+            chars += len("".join(page[at : m.start()].split()))
+        at, name = m.end(), (m[2] or "").lower()
+        if name == "a":
+            links = 0 if m[1] else 1
+        if not name or name in INLINE or name in VOID or name == "p" or name in ENDS:
+            continue
+        if m[1]:
+            links = 0
+            if names.get(name):
+                while stack[-1][0] != name:
+                    close()
+                close()
+            continue
+        if name in RAW:
+            end = re.compile(f"</{name}[^>]*(?:>|\\Z)", re.I).search(page, at)
+            at = end.end() if end else len(page)
+            continue
+        stack.append((name, at, holders, chars))
+        names[name] = names.get(name, 0) + 1
+        holders += name in HOLDERS and not is_around(name, m[3], True)
+    while stack:
+        close()
+    return {start: (n, c / chars if chars else 0.0) for start, (n, c) in out.items()}
 
 
 class Node:
@@ -110,6 +176,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             pieces.clear()
         linked = 0
 
+    inner: dict[int, tuple[int, float]] | None = None
+
+    def held() -> tuple[int, float]:
+        nonlocal inner
+        if inner is None:  # few pages ask
+            inner = contents(page)
+        return inner.get(m.end(), (0, 0.0))
+
     at = 0
     while True:
         m = TAG.search(page, at)
@@ -170,7 +244,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 node.link_tags += 1
             elif name == "br":
                 pieces.append(" ")
-            if name in VOID or not m[3] or not is_around(name, m[3], holders > 0):
+            if name in VOID or not m[3] or not is_around(name, m[3], holders > 0, held):
                 continue
         if name not in INLINE:
             flush()
@@ -181,7 +255,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             stack.pop()
         while name in ENDS.get(stack[-1][0], ()):
             stack.pop()
-        if is_around(name, m[3], holders > 0):
+        if is_around(name, m[3], holders > 0, held):
             if not m[3].endswith("/") or name not in ("svg", "object"):
                 skipping.append(name)
             continue

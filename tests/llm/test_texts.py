@@ -221,6 +221,18 @@ def test_pages(page, text):
     assert H.main_text(page) == text
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "layout with-nav", "page-with-menu", "social-article", "search-result-body", "sidebar layout"])
+def test_layout_names_do_not_drop_the_page(name):
+    for holder in ("article", "section"):
+        page = f"<div class='{name}'><{holder}>{ARTICLE}</{holder}></div><div class=sidebar><p>More of this</div>"
+        assert H.main_text(page) == WANTED
+
+
+def test_marked_elements_that_hold_an_article_stay():
+    assert H.main_text(f"<form id=aspnet><div class=widget><article>{ARTICLE}</article></div></form>") == WANTED
+    assert H.main_text(f"<div class=cookie-body-notice>Cookies</div><article>{ARTICLE}</article>") == WANTED
+
+
 def test_page_table(shared):
     rows = [(1, "u", "<p>Hello <b>there</b></p>"), (2, None, None), (2, None, None), (None, "v", "x" * 300000)]
     df = shared.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))
