@@ -4,8 +4,10 @@ Every block element of a page gets a density: its characters per tag, lowered
 by the share of characters and tags that belong to links.  The densities of a
 node's children, and that of the text it holds itself, are summed; the node
 of the largest sum holds the article.  The path from it up to the body gives
-the threshold: siblings along the path whose density is at least the lowest
-density on the path belong to the article too.
+the threshold: siblings along the path, of any tag, whose density is at least
+the lowest density on the path belong to the article too.  A ``main`` that
+holds most of the text bounds it; an ``article`` on it belongs whole, as do articles beside the
+path and titles without links.
 
 A page is one row and its work is linear in its length, so this is a narrow
 map: no shuffle, and no group of pages is ever brought together.
@@ -146,12 +148,12 @@ def contents(page: str) -> dict[int, tuple[int, float]]:
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "chars", "tags", "link_chars", "link_tags", "own", "own_tags", "density", "total")
+    __slots__ = ("name", "parent", "children", "chars", "tags", "link_chars", "link_tags", "own", "own_tags", "density", "own_density", "total")
 
     def __init__(self, name: str, parent: Node | None):
         self.name, self.parent, self.children = name, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = self.own = self.own_tags = 0
-        self.density = self.total = 0.0
+        self.density = self.own_density = self.total = 0.0
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
@@ -293,7 +295,8 @@ def weigh(nodes: list[Node]) -> None:
         node.density = density(node.chars, node.tags, node.link_chars, node.link_tags)
     for node in nodes:
         own_links = node.link_chars - sum(c.link_chars for c in node.children)
-        node.total = sum(c.density for c in node.children) + density(node.own, node.own_tags - len(node.children), own_links, 0)
+        node.own_density = density(node.own, node.own_tags - len(node.children), own_links, 0)
+        node.total = sum(c.density for c in node.children) + node.own_density
 
 
 def main_text(page: str | None) -> str:
@@ -304,28 +307,34 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     weigh(nodes)
-    best = max(nodes, key=lambda n: n.total)
+    bare = lambda n: n.chars - n.link_chars
+    scope = max((n for n in nodes if n.name == "main"), key=bare, default=None)
+    if scope is None or bare(scope) * 2 <= bare(nodes[0]):
+        scope = nodes[0]  # a main of little text is no evidence
+    within = {id(scope)}
+    for node in nodes:  # parents come first
+        if node.parent is not None and id(node.parent) in within:
+            within.add(id(node))
+    best = max((n for n in nodes if id(n) in within), key=lambda n: n.total)
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    for kind in HOLDERS:
-        holder = next((n for n in path if n.name == kind), None)
-        if holder is not None:
-            chosen = {id(holder)}
-            break
-    else:
-        chosen = {id(best)}
-        limit = min(n.density for n in path[:-1] or path)
-        for below, above in zip(path, path[1:], strict=False):
-            for child in above.children:
-                title = child.name == "h1" and child.link_chars == 0
-                dense = child.density >= limit and child.link_chars * 3 < child.chars and child.name == below.name
-                if title or dense:
-                    chosen.add(id(child))
+    chosen = {id(best)}
+    article = next((n for n in path if n.name == "article"), None)
+    if article is not None:
+        chosen.add(id(article))
+    limit = min(n.density for n in path)
+    top = path.index(next((n for n in path if n.name == "main"), path[-1]))
+    dense = lambda n: n.density >= limit and n.link_chars * 3 < n.chars
+    own = set()  # nodes on the path whose own text is dense, not all they hold
+    for node in path[1 : top + 1]:
+        chosen.update(id(c) for c in node.children if c.chars and (dense(c) or c.name in HOLDERS and c.link_chars * 3 < c.chars or c.name == "h1" and c.link_chars == 0))
+        if node.own and node.own_density >= limit:
+            own.add(id(node))
     inside: dict[int, bool] = {}
     for node in nodes:  # parents come first
         inside[id(node)] = id(node) in chosen or (node.parent is not None and inside[id(node.parent)])
-    return "\n\n".join(text for node, text in blocks if inside[id(node)])
+    return "\n\n".join(text for node, text in blocks if inside[id(node)] or id(node) in own)
 
 
 def page_text(page: Column) -> Column:

@@ -233,6 +233,20 @@ def test_marked_elements_that_hold_an_article_stay():
     assert H.main_text(f"<div class=cookie-body-notice>Cookies</div><article>{ARTICLE}</article>") == WANTED
 
 
+def test_articles_in_parts_and_what_stands_beside_them():
+    other = "A second part of the page that is just as long as the first one and has no links."
+    lead = "A lead that stands in main, outside of the article, and is long enough to count."
+    assert H.main_text(f"<article>{ARTICLE}</article><article><p>{other}</article>") == f"{WANTED}\n\n{other}"
+    assert H.main_text(f"<main><h1>Title</h1><p>{lead}</p><article>{ARTICLE}</article></main><p>{other}") == f"Title\n\n{lead}\n\n{WANTED}"
+
+
+@pytest.mark.parametrize("tag", ["p", "h2", "blockquote", "section"])
+def test_dense_siblings_of_any_tag_stay(tag):
+    lead = "A lead beside the body of the text, long and without any links, belongs to it. "
+    page = f"<div><{tag}>{lead}</{tag}><div class=body>{ARTICLE * 12}</div></div><ul><li><a href=x>Other page</a><li><a href=y>One more</a></ul>"
+    assert H.main_text(page) == "\n\n".join([lead.strip(), *[WANTED] * 12])
+
+
 def test_page_table(shared):
     rows = [(1, "u", "<p>Hello <b>there</b></p>"), (2, None, None), (2, None, None), (None, "v", "x" * 300000)]
     df = shared.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))
