@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import utf8, words_of
-from .license_texts import PHRASES, TEMPLATES
+from .license_texts import NEEDED, PHRASES, TEMPLATES
 
 
 class SuffixAutomaton:
@@ -183,10 +183,25 @@ class LicenseIndex:
         if last is not None:
             yield Span(name, label, first, last - 1, covered, min(1.0, covered / len(self.sequences[k])))
 
+    def _deciding(self, text: bytes, spans: list[Span]) -> list[Span]:
+        """Spans that give their label: covered enough, with the words that tell their
+        licence from its siblings, and not inside one of another label that covers more."""
+        spans = [s for s in spans if s.coverage >= self.least_coverage]
+        if any(s.label in NEEDED for s in spans):
+            words = words_of(text)
+            spans = [s for s in spans if self._told(words[s.first_word : s.last_word + 1], s.label)]
+        rank = lambda s: (s.covered, s.coverage)
+        wins = lambda t, s: t.label != s.label and t.first_word <= s.first_word and t.last_word >= s.last_word and rank(t) > rank(s)
+        return [s for s in spans if not any(wins(t, s) for t in spans)] if len({s.label for s in spans}) > 1 else spans
+
+    @staticmethod
+    def _told(words: list[bytes], label: str) -> bool:
+        return all(any(w.encode() in words for w in group) for group in NEEDED.get(label, ()))
+
     def row(self, text: bytes) -> dict:
         n_words, places, spans = self.scan(text)
         base = sorted({self.phrases[k][1] for _, k in places})
-        own = {s.label for s in spans if s.coverage >= self.least_coverage}
+        own = {s.label for s in self._deciding(text, spans)}
         return {
             "n_words": n_words,
             "n_base": len(places),

@@ -58,7 +58,29 @@ TEMPLATES = (
     ),
     ("cc-line", "cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-notice", "cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by-line", "cc-by", "Licensed under CC BY 4.0."),
+    ("cc-by-notice", "cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-sa-line", "cc-by-sa", "Licensed under CC BY-SA 4.0."),
+    ("cc-by-sa-notice", "cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nd-line", "cc-by-nd", "Licensed under CC BY-ND 4.0."),
+    ("cc-by-nd-notice", "cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("cc-by-nc-sa-line", "cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0."),
+    ("cc-by-nc-sa-notice", "cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("cc-by-nc-nd-line", "cc-by-nc-nd", "Licensed under CC BY-NC-ND 4.0."),
+    ("cc-by-nc-nd-notice", "cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("cc0-line", "cc0", "This work is licensed under CC0 1.0 Universal."),
+    ("cc0-notice", "cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 )
 
+#: By label: words a span must hold in the document, one of each group, before it gives the label.
+NEEDED = {
+    "cc-by-nc": (("noncommercial", "nc"),),
+    "cc-by-sa": (("sharealike", "sa"),),
+    "cc-by-nd": (("noderivatives", "noderivs", "nd"),),
+    "cc-by-nc-sa": (("noncommercial", "nc"), ("sharealike", "sa")),
+    "cc-by-nc-nd": (("noncommercial", "nc"), ("noderivatives", "noderivs", "nd")),
+    "cc0": (("cc0", "waived"),),
+}
+
 #: (phrase, label): what counts as a mention by itself.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))

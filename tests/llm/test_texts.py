@@ -136,6 +136,23 @@ def test_templates_are_found_whole_and_in_part():
     assert index.row(b"the of and to in is with by for from this that at be or an")["labels"] == ""
 
 
+@pytest.mark.parametrize(
+    ("kind", "label"),
+    [("", "cc-by"), ("-ShareAlike", "cc-by-sa"), ("-NoDerivatives", "cc-by-nd"), ("-NonCommercial", "cc-by-nc"), ("-NonCommercial-ShareAlike", "cc-by-nc-sa"), ("-NonCommercial-NoDerivatives", "cc-by-nc-nd")],
+)
+def test_sibling_licences_are_told_apart(kind, label):
+    index = L.LicenseIndex()
+    short = label[3:].upper()
+    for text in (
+        f"This work is licensed under a Creative Commons Attribution{kind} 4.0 International License",
+        f"This work is licensed under a Creative Commons Attribution{kind} 3.0 Unported License",
+        f"Licensed under CC {short} 4.0.",
+    ):
+        assert index.row(f"before {text}, after".encode())["labels"] == label
+    both = index.row(f"This work is licensed under a Creative Commons Attribution{kind} 4.0 International License. {'x ' * 40} {TEMPLATES[0][2]}".encode())
+    assert both["labels"] == ",".join(sorted([label, "mit"]))
+
+
 # --- secrets ---
 
 
