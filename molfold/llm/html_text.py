@@ -328,7 +328,7 @@ def main_text(page: str | None) -> str:
     dense = lambda n: n.density >= limit and n.link_chars * 3 < n.chars
     own = set()  # nodes on the path whose own text is dense, not all they hold
     for node in path[1 : top + 1]:
-        chosen.update(id(c) for c in node.children if c.chars and (dense(c) or c.name in HOLDERS and c.link_chars * 3 < c.chars or c.name == "h1" and c.link_chars == 0))
+        chosen.update(id(c) for c in node.children if c not in path and c.chars and (dense(c) or c.name in HOLDERS and c.link_chars * 3 < c.chars or c.name == "h1" and c.link_chars == 0))
         if node.own and node.own_density >= limit:
             own.add(id(node))
     inside: dict[int, bool] = {}
