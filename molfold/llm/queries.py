@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
+
 from . import sql
+from .byte_pairs import token_report
 from .common import table
 from .decontaminate import contamination
 from .html_text import extract_text
@@ -64,6 +67,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_report(table(spark, sf_dir, "documents"))
 
 
+def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return token_report(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 LLM_QUERIES: dict[str, QueryFn] = {
     "op1_simhash": op1_simhash,
     "op2_sharding": op2_sharding,
@@ -75,6 +83,7 @@ LLM_QUERIES: dict[str, QueryFn] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_secret_scan": op9_secret_scan,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_byte_pairs": op13_byte_pairs,
     "pipeline": corpus_pipeline.run,
 }
 
