@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import islice
+from operator import methodcaller
 
 import duckdb
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 #: Largest vocabulary that is sent to every executor.
 MOST_VOCABULARY = 64 << 20
-#: Bytes of pieces encoded at a time, and of pieces remembered within a task.
+#: Characters of text encoded at a time, and bytes of pieces remembered within a task.
 BLOCK, MEMORY = 1 << 22, 1 << 22
 #: Token rows that one recursion may make.
 MOST_ROWS = 1 << 22
@@ -59,7 +61,7 @@ WITH RECURSIVE t(w, s, id, round) AS (
   UNION ALL
   SELECT w, s, CASE WHEN hit THEN best ELSE id END, round + 1 FROM many WHERE NOT gone)
 )
-SELECT w, s, id, round FROM t QUALIFY round = max(round) OVER (PARTITION BY w)
+SELECT w, s, id, round FROM t JOIN (SELECT w, max(round) AS round FROM t GROUP BY w) AS ends USING (w, round)
 """
 
 DECODE = "SELECT row, unhex(string_agg(hex, '' ORDER BY s)) AS bytes FROM tokens JOIN vocabulary USING (id) GROUP BY row"
@@ -72,7 +74,7 @@ class BytePairs:
         self.ids = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in ranks.splitlines() if line.strip())}
         self.pattern = regex.compile(pattern)
         self.single = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.size = 0
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})
         made = [(self.ids[t[:k]] << 32 | self.ids[t[k:]], rank) for t, rank in self.ids.items() for k in range(1, len(t)) if t[:k] in self.ids and t[k:] in self.ids]
@@ -86,6 +88,8 @@ class BytePairs:
 
     def _contracted(self, pieces: list[bytes]) -> Iterator[tuple[int, bytes]]:
         """(number, ids as little-endian words) of each piece, once its recursion has ended."""
+        if not pieces:
+            return
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ends = np.cumsum(lengths)
         s = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
@@ -104,49 +108,45 @@ class BytePairs:
             going = made == rounds
             w, s, ids = w[going], s[going], ids[going]
 
-    def learn(self, pieces: set[bytes]) -> None:
+    def learn(self, pieces: set[str]) -> None:
         """Encode what is not known yet; what is known stays until it takes more than ``MEMORY``."""
         if self.size > MEMORY:
             self.known, self.size = {}, 0
-        new = []
-        for piece in pieces:
-            if piece not in self.known:
-                if piece in self.ids:
-                    self.known[piece] = self.ids[piece].to_bytes(4, "little")
-                else:
-                    new.append(piece)
-                self.size += len(piece)
-        if new:
-            for number, ids in self._contracted(new):
-                self.known[new[number]] = ids
+        new = [p for p in pieces if p not in self.known]
+        data = [p.encode() for p in new]
+        self.size += sum(map(len, data))
+        whole = [self.ids.get(d) for d in data]
+        self.known.update((p, i.to_bytes(4, "little")) for p, i in zip(new, whole, strict=True) if i is not None)
+        rest = [k for k, i in enumerate(whole) if i is None]
+        self.known.update((new[rest[k]], ids) for k, ids in self._contracted([data[k] for k in rest]))
 
     def encode(self, texts: Iterator[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian words of 32 bits."""
-        waiting: list[list[bytes]] = []  # whole texts, then the one at hand
+        waiting: list[list[list[str]]] = []  # pieces of whole texts, then of the one at hand
         size = 0
-        parts: list[bytes] = []
+        done: list[bytes] = []  # ids of the start of the first text that waits
 
         def settle() -> list[bytes]:
-            self.learn({p for pieces in waiting for p in pieces})
-            return [b"".join(map(self.known.__getitem__, pieces)) for pieces in waiting]
+            self.learn(set().union(*(run for runs in waiting for run in runs)))
+            return [b"".join(self.known[p] for run in runs for p in run) for runs in waiting]
 
         for text in texts:
             waiting.append([])
-            for match in self.pattern.finditer(text):
-                piece = match.group().encode()
-                waiting[-1].append(piece)
-                size += len(piece)
+            pieces = map(methodcaller("group"), self.pattern.finditer(text))
+            while run := list(islice(pieces, BLOCK >> 6)):
+                waiting[-1].append(run)
+                size += sum(map(len, run))
                 if size >= BLOCK:
                     *whole, rest = settle()
                     if whole:
-                        yield b"".join([*parts, whole[0]])
+                        yield b"".join([*done, whole[0]])
                         yield from whole[1:]
-                        parts = []
-                    parts.append(rest)
+                        done = []
+                    done.append(rest)
                     waiting, size = [[]], 0
         if waiting:
             whole = settle()
-            yield b"".join([*parts, whole[0]])
+            yield b"".join([*done, whole[0]])
             yield from whole[1:]
 
     def decode(self, rows: list[bytes]) -> list[bytes]:

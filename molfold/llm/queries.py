@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-
 from . import sql
 from .byte_pairs import token_report
 from .common import table

@@ -45,7 +45,7 @@ def test_ids_are_those_of_the_library(coder, library):
 
 
 def test_small_blocks_and_few_rounds_change_nothing(coder, library, monkeypatch):
-    monkeypatch.setattr(B, "BLOCK", 50)
+    monkeypatch.setattr(B, "BLOCK", 64)
     monkeypatch.setattr(B, "MEMORY", 100)
     monkeypatch.setattr(B, "MOST_ROWS", 2000)
     monkeypatch.setattr(B, "TOKENS", 7)
