@@ -21,6 +21,7 @@ from .quality import classify
 from .secrets import scan_secrets
 from .sharding import sharded_documents
 from .simhash import near_duplicates
+from .spelling import spelling_groups, word_counts
 from .suffix_dedup import repeats_report
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +67,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_report(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(word_counts(table(spark, sf_dir, "documents")))
+
+
 def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return token_report(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -82,6 +87,7 @@ LLM_QUERIES: dict[str, QueryFn] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_secret_scan": op9_secret_scan,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_spelling": op11_spelling,
     "op13_byte_pairs": op13_byte_pairs,
     "pipeline": corpus_pipeline.run,
 }
@@ -90,4 +96,5 @@ LLM_ORACLES: dict[str, str] = {
     "op3_decontamination": sql.DECONTAMINATION,
     "op5_topk_search": sql.TOP_PRODUCTS,
     "op9_secret_scan": sql.SECRETS,
+    "op11_spelling": sql.SPELLING,
 }

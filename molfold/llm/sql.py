@@ -86,3 +86,36 @@ def _secrets() -> str:
 
 
 SECRETS = _secrets()
+
+
+#: CRC-32 by its table, made by rule; near words through deletions, told apart
+#: by the edit distance of words whose Latin-1 letters are written as ASCII signs.
+SPELLING = """
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS tab
+  FROM range(256) AS r(i)),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+low AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS k FROM runs GROUP BY ALL),
+bytes AS (SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS hex FROM low WHERE length(w) >= 6),
+hashed AS (
+  SELECT w, k, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [CAST('0x' || substr(hex, 2 * i + 1, 2) AS BIGINT) FOR i IN range(length(hex) // 2)]),
+    lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1]))) AS h FROM bytes, crc),
+n AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n
+  FROM (SELECT k, CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+variant AS (SELECT word, word AS v FROM n UNION SELECT word, substr(word, 1, i) || substr(word, i + 2) FROM n, unnest(range(length(word))) AS r(i)),
+met AS (SELECT DISTINCT a.word, b.word AS other FROM variant a JOIN variant b USING (v) WHERE a.word <> b.word),
+near AS (
+  SELECT * FROM met
+  WHERE levenshtein(translate(word, 'ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖ×ØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõö÷øùúûüýþÿ', SIGNS), translate(other, 'ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖ×ØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõö÷øùúûüýþÿ', SIGNS)) = 1),
+best AS (
+  SELECT near.word, count(*) AS n_near, arg_min(other, {'a': -m.n, 'b': other}) AS other, max(m.n) AS most
+  FROM near JOIN n AS m ON m.word = other GROUP BY near.word),
+formed AS (
+  SELECT n.word, n.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * n.n THEN other END AS form, CASE WHEN most >= 5 * n.n THEN most END AS form_n
+  FROM n LEFT JOIN best USING (word)),
+chain(word, reached) AS (SELECT word, word FROM n UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.reached WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, n_near, form, form_n, reached AS root
+FROM formed f JOIN (SELECT word, arg_max(reached, m.n) AS reached FROM chain JOIN n AS m ON m.word = reached GROUP BY chain.word) USING (word)
+""".replace("SIGNS", "'" + "".join(map(chr, range(33, 97))).replace("'", "''") + "'")
