@@ -117,5 +117,5 @@ formed AS (
   FROM n LEFT JOIN best USING (word)),
 chain(word, reached) AS (SELECT word, word FROM n UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.reached WHERE f.form IS NOT NULL)
 SELECT f.word, f.n, n_near, form, form_n, reached AS root
-FROM formed f JOIN (SELECT word, arg_max(reached, m.n) AS reached FROM chain JOIN n AS m ON m.word = reached GROUP BY chain.word) USING (word)
+FROM formed f JOIN (SELECT chain.word, arg_max(reached, m.n) AS reached FROM chain JOIN n AS m ON m.word = reached GROUP BY chain.word) USING (word)
 """.replace("SIGNS", "'" + "".join(map(chr, range(33, 97))).replace("'", "''") + "'")
