@@ -18,6 +18,7 @@ from .license_scan import scan_licenses
 from .mtree import top_products
 from .packing import pack
 from .quality import classify
+from .ranked_search import ranked_documents
 from .secrets import scan_secrets
 from .sharding import sharded_documents
 from .simhash import near_duplicates
@@ -71,6 +72,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(word_counts(table(spark, sf_dir, "documents")))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return token_report(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -88,6 +93,7 @@ LLM_QUERIES: dict[str, QueryFn] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_spelling": op11_spelling,
+    "op12_ranked_search": op12_ranked_search,
     "op13_byte_pairs": op13_byte_pairs,
     "pipeline": corpus_pipeline.run,
 }
@@ -97,4 +103,5 @@ LLM_ORACLES: dict[str, str] = {
     "op5_topk_search": sql.TOP_PRODUCTS,
     "op9_secret_scan": sql.SECRETS,
     "op11_spelling": sql.SPELLING,
+    "op12_ranked_search": sql.RANKED_SEARCH,
 }

@@ -119,3 +119,21 @@ chain(word, reached) AS (SELECT word, word FROM n UNION ALL SELECT c.word, f.for
 SELECT f.word, f.n, n_near, form, form_n, reached AS root
 FROM formed f JOIN (SELECT chain.word, arg_max(reached, m.n) AS reached FROM chain JOIN n AS m ON m.word = reached GROUP BY chain.word) USING (word)
 """.replace("SIGNS", "'" + "".join(map(chr, range(33, 97))).replace("'", "''") + "'")
+
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SMALL = "translate(unnest(regexp_extract_all(text, '{}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format(TERM)
+
+#: Every document scored for every item.
+RANKED_SEARCH = f"""
+WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {SMALL} AS term FROM documents) GROUP BY ALL),
+d AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY doc_id),
+total AS (SELECT count(*) AS N, CAST(sum(n) AS BIGINT) AS L FROM d),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * N + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term, N),
+q AS (SELECT item_id, {SMALL} AS term FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * d.n * total.N) // L)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term) JOIN d USING (doc_id), total GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+"""
