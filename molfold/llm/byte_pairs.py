@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 from operator import methodcaller
 
 import duckdb
@@ -77,9 +77,18 @@ class BytePairs:
         self.known: dict[str, bytes] = {}
         self.size = 0
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})
+        self.made: set[str] = set()
+
+    def _need(self, name: str) -> None:
+        """The merge table or the vocabulary, made when it is first needed."""
+        if name in self.made:
+            return
+        self.made.add(name)
+        if name == "vocabulary":
+            self._create("vocabulary", id=pa.array(self.ids.values(), pa.int32()), hex=pa.array([t.hex() for t in self.ids]))
+            return
         made = [(self.ids[t[:k]] << 32 | self.ids[t[k:]], rank) for t, rank in self.ids.items() for k in range(1, len(t)) if t[:k] in self.ids and t[k:] in self.ids]
         self._create("merges", pair=pa.array([p for p, _ in made], pa.int64()), rank=pa.array([r for _, r in made], pa.int32()))
-        self._create("vocabulary", id=pa.array(self.ids.values(), pa.int32()), hex=pa.array([t.hex() for t in self.ids]))
 
     def _create(self, name: str, **columns: pa.Array | np.ndarray) -> None:
         self.db.register("given", pa.table(columns))
@@ -90,6 +99,7 @@ class BytePairs:
         """(number, ids as little-endian words) of each piece, once its recursion has ended."""
         if not pieces:
             return
+        self._need("merges")
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ends = np.cumsum(lengths)
         s = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
@@ -128,7 +138,7 @@ class BytePairs:
 
         def settle() -> list[bytes]:
             self.learn(set().union(*(run for runs in waiting for run in runs)))
-            return [b"".join(self.known[p] for run in runs for p in run) for runs in waiting]
+            return [b"".join(map(self.known.__getitem__, chain.from_iterable(runs))) for runs in waiting]
 
         for text in texts:
             waiting.append([])
@@ -149,17 +159,38 @@ class BytePairs:
             yield b"".join([*done, whole[0]])
             yield from whole[1:]
 
-    def decode(self, rows: list[bytes]) -> list[bytes]:
+    def decode(self, rows: Iterator[bytes]) -> Iterator[bytes]:
         """Bytes of each row of ids."""
-        found: list[list[bytes]] = [[] for _ in rows]
-        flat = np.frombuffer(b"".join(rows), "<u4")
-        owner = np.repeat(np.arange(len(rows)), [len(r) // 4 for r in rows])
-        for low in range(0, len(flat), TOKENS):
-            ids, row = flat[low : low + TOKENS], owner[low : low + TOKENS]
-            self._create("tokens", row=row, s=np.arange(len(ids)), id=ids.astype(np.int32))
-            for number, decoded in self.db.execute(DECODE).fetchall():
-                found[number].append(decoded)
-        return [b"".join(parts) for parts in found]
+        waiting: list[np.ndarray] = []  # whole rows, then the one at hand
+        size = 0
+        done: list[bytes] = []  # the start of the first row that waits
+
+        def settle() -> list[bytes]:
+            self._need("vocabulary")
+            lengths = [len(ids) for ids in waiting]
+            row = np.repeat(np.arange(len(waiting), dtype=np.int32), lengths)
+            self._create("tokens", row=row, s=np.arange(len(row), dtype=np.int32), id=np.concatenate(waiting).astype(np.int32))
+            found = dict(self.db.execute(DECODE).fetchall())
+            return [found.get(number, b"") for number in range(len(waiting))]
+
+        for row in rows:
+            ids = np.frombuffer(row, "<u4")
+            waiting.append(ids[:0])
+            for low in range(0, len(ids), TOKENS):
+                waiting[-1] = ids[low : low + TOKENS]
+                size += len(waiting[-1])
+                if size >= TOKENS:
+                    *whole, rest = settle()
+                    if whole:
+                        yield b"".join([*done, whole[0]])
+                        yield from whole[1:]
+                        done = []
+                    done.append(rest)
+                    waiting, size = [ids[:0]], 0
+        if waiting:
+            whole = settle()
+            yield b"".join([*done, whole[0]])
+            yield from whole[1:]
 
 
 def read_ranks(path: str) -> bytes:
@@ -178,7 +209,7 @@ def _mapped(values: Column, spark: SparkSession, path: str, pattern: str, encode
         coder = BytePairs(ranks.value, pattern)
         for batch in batches:
             rows = (v.as_py() for v in batch)
-            yield pa.array(coder.encode(rows) if encode else coder.decode(list(rows)), pa.binary())
+            yield pa.array(list(coder.encode(rows) if encode else coder.decode(rows)), pa.binary())
 
     return F.arrow_udf(run, "binary").asNondeterministic()(values)
 
