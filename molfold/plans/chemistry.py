@@ -10,7 +10,7 @@ from ..functions import elements as E
 from ..functions import graph as G
 from ..functions import morgan as M
 from ..functions import text as X
-from ..functions.smiles import with_molecule
+from ..functions.columnar import with_molecule
 from ..operators import search as K
 from . import tables as T
 from .pieces import graph_cte, smiles_cte

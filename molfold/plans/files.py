@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import bits as B
 from ..functions import descriptors as D
 from ..functions import morgan as M
-from ..functions.smiles import with_molecule
+from ..functions.columnar import with_molecule
 from ..operators.scratch import scratch_path
 from ..sources import csvfile, fpfile, sdf, smi
 from . import tables as T

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits as B
 from ..functions.elements import _lit_array
-from ..functions.smiles import with_molecule
+from ..functions.columnar import with_molecule
 from ..operators.spread import spread_small
 
 # SMILES pieces that are strung together: left + carbons + core + right.

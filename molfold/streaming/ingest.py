@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.morgan import fingerprint_table
-from ..functions.smiles import with_molecule
+from ..functions.columnar import with_molecule
 from ..operators.search import _literal_scored, _popcount_words, band
 from ..sources.smi import records_from_lines
 

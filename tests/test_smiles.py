@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from molfold.functions import descriptors as D
 from molfold.functions import graph as G
 from molfold.functions import morgan as M
-from molfold.functions.smiles import with_molecule
+from molfold.functions.columnar import with_molecule
 
 from . import brute
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from molfold.functions.smiles import with_molecule
+from molfold.functions.columnar import with_molecule
 from molfold.operators import grouping, ordering, screening
 from molfold.plans.chemistry import query_words
 from molfold.sources import csvfile, fpfile, sdf, smi
@@ -142,7 +142,7 @@ def test_binary_shards_by_uri(spark, tmp_path, monkeypatch):
 
 
 def test_sdf_refuses_what_the_format_cannot_count(spark):
-    from molfold.functions.smiles import with_molecule
+    from molfold.functions.columnar import with_molecule
 
     df = with_molecule(spark.createDataFrame([("big", "C" * 1001)], "name string, smiles string"), "smiles")
     text = df.select(sdf.format_record("name", "mol", "array()", "array()", "array()", "map()"))
