@@ -1,9 +1,10 @@
 """Graph measures of a parsed molecule, as Catalyst array expressions.
 
 Every function takes the name of a ``mol`` column and returns a Column.
-Breadth-first searches are folds whose state is the set of atoms already
+The search from one atom is a fold whose state is the set of atoms already
 reached, the step at which each was reached, and the current frontier; once
-the frontier is empty the remaining steps do nothing.
+the frontier is empty the remaining steps do nothing.  Searches from all atoms
+are in :mod:`molfold.functions.bitsearch`.
 """
 
 from __future__ import annotations
@@ -11,18 +12,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bitsearch import distance_matrix, graph_diameter, smallest_ring_size  # noqa: F401
 from .smiles import let
 
 
-def _bfs(start: str, skip_bond: str = "-1", until: str = "-1") -> str:
+def _bfs(start: str) -> str:
     """SQL for struct(seen, steps) of a search over ``m.adj`` from ``start``."""
     return (
         "aggregate(sequence(1, greatest(size(m.atoms), 1)), "
         f"named_struct('seen', array({start}), 'steps', array(0), 'front', array({start})), "
-        f"(s, k) -> IF(size(s.front) = 0 OR array_contains(s.seen, {until}), s, "
+        "(s, k) -> IF(size(s.front) = 0, s, "
         + let(
-            "array_except(flatten(transform(s.front, u -> transform(filter(m.adj[u], w -> "
-            f"w.bond <> {skip_bond}), w -> w.atom))), s.seen)",
+            "array_except(flatten(transform(s.front, u -> transform(m.adj[u], w -> w.atom))), s.seen)",
             "fresh",
             "named_struct('seen', concat(s.seen, fresh), 'steps', "
             "concat(s.steps, array_repeat(k, size(fresh))), 'front', fresh)",
@@ -58,24 +59,6 @@ def shortest_paths_from(mol: str, start: int) -> Column:
     return _on(mol, body)
 
 
-def distance_matrix(mol: str) -> Column:
-    """All-pairs bond distances, one row array per atom."""
-    return _on(
-        mol,
-        f"IF({_NO_ATOMS}, cast(array() as array<array<int>>), "
-        f"transform(sequence(0, size(m.atoms) - 1), a0 -> {_distances('a0')}))",
-    )
-
-
-def graph_diameter(mol: str) -> Column:
-    """Largest finite distance; 0 for an empty molecule."""
-    far = f"array_max({let(_bfs('a0'), 'q', 'q.steps')})"
-    return _on(
-        mol,
-        f"IF({_NO_ATOMS}, 0, array_max(transform(sequence(0, size(m.atoms) - 1), a0 -> {far})))",
-    )
-
-
 # each atom carries the smallest atom number of its fragment; when every atom
 # but the first has a lower-numbered neighbour there is a single fragment
 _LABELS = (
@@ -111,21 +94,6 @@ def ring_count(mol: str) -> Column:
     return _on(mol, RING_COUNT_SQL)
 
 
-def smallest_ring_size(mol: str) -> Column:
-    """Size of the smallest ring through each atom; 0 outside rings."""
-    cycle = let(
-        _bfs("e.atom", skip_bond="e.bond", until="a0"),
-        "q",
-        "IF(array_contains(q.seen, a0), q.steps[cast(array_position(q.seen, a0) as int) - 1] + 1, NULL)",
-    )
-    body = (
-        f"IF({_NO_ATOMS}, {_INT_ARRAY}, transform(sequence(0, size(m.atoms) - 1), a0 -> "
-        "IF(NOT m.atoms[a0].in_ring, 0, coalesce(array_min(transform("
-        f"filter(m.adj[a0], w -> w.in_ring), e -> {cycle})), 0))))"
-    )
-    return _on(mol, body)
-
-
 def degrees(mol: str) -> Column:
     """Neighbours of each atom, hydrogens included."""
     return F.expr(f"transform({mol}.adj, n -> size(n))")

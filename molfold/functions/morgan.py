@@ -228,26 +228,3 @@ def collision_report(hashes: str, sizes=(256, 512, 1024, 2048, 4096)) -> Column:
         )
 
     return F.array(*[entry(n) for n in sizes])
-
-
-def atom_pairs(mol: str) -> Column:
-    """Atom-pair features ``z_low * 1000000 + z_high * 1000 + distance`` of all
-    pairs of connected atoms, sorted and distinct."""
-    from .graph import distance_matrix
-
-    d = distance_matrix(mol)
-    return F.array_sort(
-        F.array_distinct(
-            F.flatten(
-                F.transform(
-                    d,
-                    lambda row, i: F.transform(
-                        F.filter(F.sequence(F.lit(0), F.size(row) - 1), lambda j: (j > i) & (F.get(row, j) > 0)),
-                        lambda j: F.least(F.get(F.col(f"{mol}.atoms"), i).z, F.get(F.col(f"{mol}.atoms"), j).z) * 1000000
-                        + F.greatest(F.get(F.col(f"{mol}.atoms"), i).z, F.get(F.col(f"{mol}.atoms"), j).z) * 1000
-                        + F.get(row, j),
-                    ),
-                )
-            )
-        )
-    )

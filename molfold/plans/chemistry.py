@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import bits as B
+from ..functions import bitsearch as A
 from ..functions import descriptors as D
 from ..functions import elements as E
 from ..functions import graph as G
@@ -573,7 +574,7 @@ def radius_sweep(spark, sf):
   FROM dist JOIN atoms a ON a.mol_id = dist.mol_id AND a.idx = dist.s JOIN atoms b ON b.mol_id = dist.mol_id AND b.idx = dist.idx WHERE a.idx < b.idx""")
 def atom_pairs(spark, sf):
     m = _parsed(spark, sf)
-    return m.select("mol_id", F.explode(M.atom_pairs("mol")).alias("pair"))
+    return m.select("mol_id", F.explode(A.atom_pairs("mol")).alias("pair"))
 
 
 # ---------------------------------------------------------------- library search
