@@ -41,11 +41,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, named by ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests) gets a temporary folder.
+    Only a session in one process (tests) may leave it unset and gets a
+    temporary folder; on a cluster each machine would write to its own.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         wanted = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        if not wanted and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="molfold-"))
     return context.getCheckpointDir()
 

@@ -54,6 +54,17 @@ AROUND = frozenset(
     "reply respond share sharing social related recommended newsletter subscribe subscription signup login widget pagination pager skip "
     "complementary contentinfo alert search".split()
 )
+#: Words that say nothing of what an element holds: ``footer-inner``, ``share-buttons`` and ``site-nav`` are marked, ``share-price`` is not.
+NEUTRAL = frozenset(
+    "area bar block bottom box button buttons container desktop fixed form global group holder icon icons inner item items label left link links list mobile module "
+    "outer overlay page panel post posts primary right row secondary section site slot small sticky stories top unit wrap wrapper zone".split()
+)
+#: Words of AROUND that also head sections of articles; prose below them inside an article stays.
+AMBIGUOUS = frozenset("search skip share sharing social navigation menu widget alert notice notices promotion related reply replies respond login subscription recommended".split())
+#: Least share of the page's unlinked text of such a section.
+SECTION = 0.02
+#: Elements that are left out inside the article too if nearly all they hold is links.
+LISTS = frozenset("ul ol dl div section td tr table".split())
 #: Words that save an element whose name also has one of AROUND, if they end a name (``search-result-body``) or are one by themselves.
 OWN = frozenset("article post entry story main content body text".split())
 #: A word of AROUND after one of these tells of the layout, as in ``has-sidebar``.
@@ -78,7 +89,9 @@ def around_words(attributes: str) -> set[str]:
             telling = [w for k, w in enumerate(words) if w in OWN or w in AROUND and not (k and words[k - 1] in WITH)]
             if telling and telling[-1] in OWN:
                 return set()
-            found |= AROUND.intersection(telling)
+            known = [w for k, w in enumerate(words) if w in AROUND or w in NEUTRAL or w in OWN or w in WITH or k and words[k - 1] in WITH]
+            if len(known) == len(words):  # one other word, and the name tells of something else
+                found |= AROUND.intersection(telling)
     return found
 
 
@@ -102,6 +115,8 @@ def is_around(name: str, attributes: str, inside_article: bool, held: Callable[[
     if not around:
         return False
     articles, share = held()
+    if inside_article and around <= AMBIGUOUS and share > SECTION:
+        return False
     return not articles and not (around <= LAYOUT and share > 0.5)
 
 
@@ -299,6 +314,11 @@ def weigh(nodes: list[Node]) -> None:
         node.total = sum(c.density for c in node.children) + node.own_density
 
 
+def is_link_list(node: Node) -> bool:
+    """Whether an element holds several links and little else."""
+    return node.name in LISTS and node.link_tags > 1 and node.link_chars * 5 >= node.chars * 4
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks joined by empty lines; empty for null and for pages without text."""
     if not page:
@@ -333,7 +353,7 @@ def main_text(page: str | None) -> str:
             own.add(id(node))
     inside: dict[int, bool] = {}
     for node in nodes:  # parents come first
-        inside[id(node)] = id(node) in chosen or (node.parent is not None and inside[id(node.parent)])
+        inside[id(node)] = not is_link_list(node) and (id(node) in chosen or (node.parent is not None and inside[id(node.parent)]))
     return "\n\n".join(text for node, text in blocks if inside[id(node)] or id(node) in own)
 
 

@@ -264,6 +264,32 @@ def test_dense_siblings_of_any_tag_stay(tag):
     assert H.main_text(page) == "\n\n".join([lead.strip(), *[WANTED] * 12])
 
 
+def _article(part):
+    return f"<body><nav><a href=/>Home</a></nav><article><h1>Title of it</h1><p>{'Long prose of the article goes on here, and on. ' * 8}</p>{part}<p>{'More prose to end the article with words. ' * 6}</p></article><footer>Foot</footer></body>"
+
+
+@pytest.mark.parametrize("tag", ['section id="search-algorithms"', 'section id="skip-lists"', 'p class="share-price"', 'div id="social-history"', 'section id="search"', 'section class="related-work"'])
+def test_sections_named_like_what_surrounds_an_article_stay(tag):
+    prose = "Prose in a section of the article that has a name of its own. " * 3
+    assert prose.strip() in H.main_text(_article(f"<{tag}>{prose}</{tag.split()[0]}>"))
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<ul><li><a href=1>Story one</a></li><li><a href=2>Story two</a></li></ul>",
+        "<div><a href=1>Home</a><a href=2>Story</a><a href=3>Politics</a></div>",
+        "<table><tr><td><a href=1>Story</a> <a href=2>Story</a></td></tr></table>",
+        '<div class="share-buttons">Story</div>',
+        '<div class="comment-list">Story</div>',
+        '<div class="related-posts">Story</div>',
+    ],
+)
+def test_link_lists_and_marked_elements_inside_an_article_go(part):
+    text = H.main_text(_article(part))
+    assert "Story" not in text and "Long prose" in text and "More prose" in text
+
+
 def test_page_table(shared):
     rows = [(1, "u", "<p>Hello <b>there</b></p>"), (2, None, None), (2, None, None), (None, "v", "x" * 300000)]
     df = shared.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))
