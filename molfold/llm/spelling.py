@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, let, lower_ascii
+from .common import checkpointed, lower_ascii
 
 #: Runs of ASCII and Latin-1 letters.
 LETTERS = "([A-Za-zÀ-ÿ]+)"
@@ -49,16 +49,15 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text has no words, a null id is written as nothing.
     """
     runs = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.regexp_extract_all(F.col(text_col), F.lit(LETTERS))).alias("run"))
-    word = lower_ascii(F.col("run"))
+    run = F.col("run")
+    words = runs.where(F.length("run") >= least_length).select("doc_id", F.when(F.lower(run) == run, run).otherwise(lower_ascii(run)).alias("word"))
     if damage:
+        word, size = F.col("word"), F.length("word")
         named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), word)
-
-        def damaged(x: Column) -> Column:
-            at = (x["h"] % F.length(x["w"])).cast("int")
-            return F.when(x["h"] % damage == 0, F.concat(F.substring(x["w"], F.lit(1), at), F.substring(x["w"], at + 2, F.length(x["w"])))).otherwise(x["w"])
-
-        word = let(F.struct(word.alias("w"), F.crc32(named.cast("binary")).alias("h")), damaged)
-    words = runs.where(F.length("run") >= least_length).select(word.alias("word")).where(F.length("word") >= least_length)
+        words = words.select("word", F.crc32(named.cast("binary")).alias("h"))
+        at = (F.col("h") % size).cast("int")
+        words = words.select(F.when(F.col("h") % damage == 0, F.concat(F.substring(word, F.lit(1), at), F.substring(word, at + 2, size))).otherwise(word).alias("word"))
+    words = words.where(F.length("word") >= least_length)
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_count)
 
 
