@@ -9,7 +9,7 @@ from ..functions import descriptors as D
 from ..functions import morgan as M
 from ..functions.columnar import with_molecule
 from ..operators.scratch import scratch_path
-from ..sources import csvfile, fpfile, sdf, smi
+from ..sources import csvfile, formats, fpfile, sdf, smi
 from . import tables as T
 from .chemistry import _DSQL, _ELEMENTS, _G, _M, _QED, _S, _VIOL, library
 from .pieces import smiles_cte
@@ -164,6 +164,16 @@ def sdf_scan(spark, sf):
     )
 
 
+@query("io19_sdf_format", _SDF.replace("zs, sx, sz, coalesce(bs, []) AS bs, s.mol_id::VARCHAR AS id, ", "sz, s.mol_id::VARCHAR AS id, ") + " WHERE smiles LIKE 'C%'")
+def sdf_format(spark, sf):
+    """Some columns of the records whose names begin with a C, by ``spark.read.format``."""
+    path = scratch_path(spark, "sdf")
+    sdf.write_sdf(_structures(spark, sf), path)
+    formats.register_formats(spark)
+    r = spark.read.format("sdf").schema("name string, z array<double>, props map<string,string>").load(path).where(F.col("name").startswith("C"))
+    return r.select("name", F.aggregate("z", F.lit(0.0), lambda a, v: a + v).alias("sz"), F.col("props")["ID"].alias("id"), F.col("props")["NOTE"].alias("note"))
+
+
 @query("io12_sdf_number_property", f"{_DSQL} SELECT mol_id, {_fixed_sql('mw', 3)}::DOUBLE AS mw, NULL::DOUBLE AS note FROM d")
 def sdf_number_property(spark, sf):
     texts = _structures(spark, sf).select(sdf.format_record("name", "mol", "x", "y", "z", "props").alias("value"))
