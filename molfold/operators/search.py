@@ -13,7 +13,7 @@ exact under floating point; the score test itself always follows.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +88,57 @@ def topk_search(db: DataFrame, words: Sequence[int], k: int) -> DataFrame:
     )
 
 
+def nearest_first(count: int, k: int, most: int, read: Callable[[int, int], list[tuple[float, object]]]) -> list[tuple[float, object]]:
+    """The k best (score, id) of rows of 1 to ``most`` bits for a query of ``count`` bits.
+
+    ``read(lo, hi)`` gives the k best of the rows of lo to hi bits.  Rows of n
+    bits score at most min(n, count) / max(n, count), so those nearest to the
+    query's count are read first.  As soon as k rows are known, only counts
+    that can still reach the k-th score are left to read; equal scores go by
+    id, so counts that can just reach it are read too.
+    """
+    reach = lambda n: min(n, count) / max(n, count)
+    best: list[tuple[float, object]] = []
+    low, high, goal = count + 1, count, 0.9  # counts read so far: none
+    while low > 1 or high < most:
+        if len(best) >= k:
+            goal = best[-1][0]
+        down, up = min(low, count), max(high, count)
+        while down > 1 and reach(down - 1) >= goal:
+            down -= 1
+        while up < most and reach(up + 1) >= goal:
+            up += 1
+        up = min(up, most)
+        if down >= low and up <= high:
+            if len(best) >= k:
+                break
+            goal = goal - 0.2 if goal > 0.2 else 0.0
+            continue
+        for lo, hi in ((down, up),) if low > high else ((down, low - 1), (high + 1, up)):
+            if lo <= hi:
+                best = sorted(best + read(lo, hi), key=lambda x: (-x[0], x[1]))[:k]
+        low, high = min(low, down), max(high, up)
+    return best
+
+
+def topk_stored(db: DataFrame, words: Sequence[int], k: int) -> DataFrame:
+    """The k best rows of a library stored by :func:`write_database`, nearest popcounts first.
+
+    Each step reads a band of popcounts, which reaches the scan, and brings at
+    most k rows back; bands that cannot reach the k-th score are never read.
+    """
+    count = _popcount_words(words)
+    kind = f"id {dict(db.dtypes)['id']}, score double"
+    if k <= 0 or count == 0:
+        return db.sparkSession.createDataFrame([], kind)
+
+    def read(lo: int, hi: int) -> list[tuple[float, object]]:
+        return [(r.score, r.id) for r in topk_search(db.where(F.col("popcnt").between(lo, hi)), words, k).collect()]
+
+    found = nearest_first(count, k, 64 * len(words), read)
+    return db.sparkSession.createDataFrame([(i, score) for score, i in found], kind)
+
+
 def superset_search(db: DataFrame, words: Sequence[int]) -> DataFrame:
     """Rows whose fingerprint has every bit of ``words``.
 

@@ -204,7 +204,15 @@ def threshold_stored(spark, sf):
 
 @query("k02_topk_stored", f"{_ONE} SELECT id, score FROM sc WHERE n > 0 ORDER BY score DESC, id LIMIT 10")
 def topk_stored(spark, sf):
-    return K.topk_search(_stored(spark, sf), text_words(QUERY_TEXT), 10)
+    return K.topk_stored(_stored(spark, sf), text_words(QUERY_TEXT), 10)
+
+
+@query("k15_stored_1024_topk", f"{_ONE.replace('2048', '1024')} SELECT id, score FROM sc WHERE n > 0 ORDER BY score DESC, id LIMIT 25")
+def stored_1024_topk(spark, sf):
+    """Sets of 1,024 bits, the nearest popcounts first."""
+    path = scratch_path(spark, "library")
+    K.write_database(T.word_bits(T.table(spark, sf, "documents"), "doc_id", "text", 1024), path)
+    return K.topk_stored(K.read_database(spark, path), text_words(QUERY_TEXT, 1024), 25)
 
 
 @query("k16_contains_bits", f"{_ONE} SELECT id, n AS popcnt FROM cm WHERE c >= 3 AND id IN (SELECT id FROM d, (SELECT qb[1:3] AS three FROM (SELECT list_sort(qb) AS qb FROM q)) WHERE len(list_intersect(bits, three)) = 3)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import descriptors as D
 from ..operators import grouping as G
+from ..operators import shuffling as H
 from ..operators import ordering as W
 from ..operators import screening as R
 from . import tables as T
@@ -343,18 +344,36 @@ def topk_logp(spark, sf):
     return c.orderBy(F.desc("logp"), "mol_id").limit(15)
 
 
-@query("k13_shuffle_and_sample", "SELECT count(*) AS n, count(DISTINCT p_partkey) AS n_distinct, true AS near_a_tenth, 0::BIGINT AS strangers FROM part")
+# the network of operators/shuffling.py on the rectangle of the row count, and rows outside sent through again
+def _once(p, seed=42, rounds=6):
+    left, right = f"({p} // b)", f"({p} % b)"
+    lets = [f"{left} AS l0, {right} AS r0"]
+    for k in range(rounds):
+        mixed = lambda c: f"('0x' || substr(md5('{seed}:{k}:' || {c}), 1, 8))::BIGINT"  # noqa: B023, E731
+        lets.append(f"l{k} AS l{k + 1}, (r{k} + {mixed(f'l{k}')}) % b AS r{k + 1}" if k % 2 else f"(l{k} + {mixed(f'r{k}')}) % a AS l{k + 1}, r{k} AS r{k + 1}")
+    return lets
+
+
+def _network(source, p):
+    text = source
+    for k, columns in enumerate(_once(p)):
+        text = f"(SELECT p_partkey, n, a, b, {columns} FROM {text})"
+    return f"SELECT p_partkey, n, a, b, l6 * b + r6 AS place FROM {text}"
+
+
+_PLACES = f"""WITH RECURSIVE side AS (SELECT count(*) AS n, floor(sqrt(count(*) - 1))::BIGINT + 1 AS a FROM part),
+ numbered AS (SELECT p_partkey, n, a, (n + a - 1) // a AS b, row_number() OVER (ORDER BY p_partkey) - 1 AS p FROM part, side),
+ walk AS ({_network('numbered', 'p')} UNION ALL {_network('(SELECT p_partkey, n, a, b, place AS p FROM walk WHERE place >= n)', 'p')}),
+ placed AS (SELECT p_partkey, place, n FROM walk WHERE place < n)"""
+
+
+@query("k13_shuffle_and_sample", f"{_PLACES} SELECT place, p_partkey, place < n // 10 AS sampled FROM placed")
 def shuffle_and_sample(spark, sf):
-    """What holds for every seeded shuffle and every seeded tenth: the shuffle
-    is a permutation, the sample has about its size and only given rows."""
+    """Every row's place in a seeded shuffle, and a sample of exactly a tenth."""
     keys = part(spark, sf).select("p_partkey")
-    shuffled = keys.orderBy(F.rand(42))
-    drawn = keys.sample(fraction=0.1, seed=42)
-    strangers = drawn.join(keys, "p_partkey", "left_anti").agg(F.count(F.lit(1)).alias("strangers"))
-    size = drawn.agg(F.count(F.lit(1)).alias("drawn"))
-    whole = shuffled.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p_partkey").alias("n_distinct"))
-    near = F.abs(size.scalar() - F.col("n") * 0.1) <= 5 * F.sqrt(F.col("n") * 0.09)
-    return whole.select("n", "n_distinct", near.alias("near_a_tenth"), strangers.scalar().alias("strangers"))
+    drawn = H.seeded_sample(keys, ["p_partkey"], keys.count() // 10, seed=42).withColumn("sampled", F.lit(True))
+    placed = H.seeded_shuffle(keys, ["p_partkey"], seed=42)
+    return placed.join(drawn, "p_partkey", "left").select("place", "p_partkey", F.coalesce("sampled", F.lit(False)).alias("sampled"))
 
 
 @query("k14_partition", "SELECT s_suppkey, s_acctbal > 5000 AS first_part FROM supplier")
