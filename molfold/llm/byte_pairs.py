@@ -8,17 +8,21 @@ until no pair of a piece can be merged.  Decoding joins token rows with the
 vocabulary and concatenates bytes by an ordered aggregation.
 
 Documents are one row each and pieces meet only within a task, so nothing is
-shuffled.  Texts are taken some megabytes of pieces at a time, so a very long
-one needs no more memory than others; the recursion stops after as many
-rounds as its rows allow and goes on from where it was.
+shuffled.  Texts wait as numbers of their pieces until there are enough new
+pieces for a recursion, so a very long one needs little more memory than
+others; the recursion stops after as many rounds as its rows allow and goes on
+from where it was.  A worker remembers the ids of pieces, up to a bound.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
+import sys
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import islice
 from operator import methodcaller
+from types import ModuleType
 
 import duckdb
 import numpy as np
@@ -29,8 +33,10 @@ from pyspark.sql import functions as F
 
 #: Largest vocabulary that is sent to every executor.
 MOST_VOCABULARY = 64 << 20
-#: Characters of text encoded at a time, and bytes of pieces remembered within a task.
-BLOCK, MEMORY = 1 << 22, 1 << 22
+#: Pieces cut at a time, new ones that are encoded together, and all that wait for them.
+RUN, NEW, WAITING = 1 << 16, 100_000, 1 << 22
+#: Bytes of pieces whose ids a worker remembers.
+MEMORY = 1 << 23
 #: Token rows that one recursion may make.
 MOST_ROWS = 1 << 22
 #: Tokens decoded at a time.
@@ -67,6 +73,18 @@ SELECT w, s, id, round FROM t JOIN (SELECT w, max(round) AS round FROM t GROUP B
 DECODE = "SELECT row, unhex(string_agg(hex, '' ORDER BY s)) AS bytes FROM tokens JOIN vocabulary USING (id) GROUP BY row"
 
 
+class Numbers(dict):
+    """Numbers of pieces in the order they are first seen."""
+
+    def __init__(self, coder: BytePairs) -> None:
+        self.coder = coder
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        self.coder.new.append(piece)
+        return number
+
+
 class BytePairs:
     """A vocabulary's tables in a DuckDB database in memory, with its two queries."""
 
@@ -74,8 +92,8 @@ class BytePairs:
         self.ids = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in ranks.splitlines() if line.strip())}
         self.pattern = regex.compile(pattern)
         self.single = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
-        self.known: dict[str, bytes] = {}
-        self.size = 0
+        self._blank()
+        self.numbers = Numbers(self)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})
         self.made: set[str] = set()
 
@@ -118,42 +136,63 @@ class BytePairs:
             going = made == rounds
             w, s, ids = w[going], s[going], ids[going]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encode what is not known yet; what is known stays until it takes more than ``MEMORY``."""
+    def learn(self) -> None:
+        """Encode the pieces that have a number and no ids yet."""
+        new = [p.encode() for p in self.new]
+        ids = [self.ids.get(piece, -1) for piece in new]
+        found: list[bytes] = [b"" if i < 0 else i.to_bytes(4, "little") for i in ids]
+        rest = [k for k, i in enumerate(ids) if i < 0]
+        for k, data in self._contracted([new[k] for k in rest]):
+            found[rest[k]] = data
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = len(self.flat) + np.cumsum(lengths) - lengths
+        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(found), "<u4")])
+        self.size += sum(map(len, new))
+        self.new.clear()
+
+    def forget(self) -> None:
+        """Give up what is known once it takes more than ``MEMORY``."""
         if self.size > MEMORY:
-            self.known, self.size = {}, 0
-        new = [p for p in pieces if p not in self.known]
-        data = [p.encode() for p in new]
-        self.size += sum(map(len, data))
-        whole = [self.ids.get(d) for d in data]
-        self.known.update((p, i.to_bytes(4, "little")) for p, i in zip(new, whole, strict=True) if i is not None)
-        rest = [k for k, i in enumerate(whole) if i is None]
-        self.known.update((new[rest[k]], ids) for k, ids in self._contracted([data[k] for k in rest]))
+            self.numbers.clear()
+            self._blank()
+
+    def _blank(self) -> None:
+        self.new: list[str] = []
+        self.starts, self.lengths, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4")
+        self.size = 0
+
+    def _ids(self, pieces: np.ndarray) -> bytes:
+        lengths = self.lengths[pieces]
+        offsets = np.repeat(self.starts[pieces] - np.cumsum(lengths) + lengths, lengths)
+        return self.flat[offsets + np.arange(len(offsets))].tobytes()
 
     def encode(self, texts: Iterator[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian words of 32 bits."""
-        waiting: list[list[list[str]]] = []  # pieces of whole texts, then of the one at hand
-        size = 0
+        waiting: list[list[np.ndarray]] = []  # numbers of the pieces of whole texts, then of the one at hand
+        held = 0
         done: list[bytes] = []  # ids of the start of the first text that waits
 
         def settle() -> list[bytes]:
-            self.learn(set().union(*(run for runs in waiting for run in runs)))
-            return [b"".join(map(self.known.__getitem__, chain.from_iterable(runs))) for runs in waiting]
+            self.learn()
+            ids = [self._ids(np.concatenate([np.empty(0, np.int32), *runs])) for runs in waiting]
+            self.forget()
+            return ids
 
         for text in texts:
             waiting.append([])
-            pieces = map(methodcaller("group"), self.pattern.finditer(text))
-            while run := list(islice(pieces, BLOCK >> 6)):
+            pieces = map(self.numbers.__getitem__, map(methodcaller("group"), self.pattern.finditer(text)))
+            while len(run := np.fromiter(islice(pieces, RUN), np.int32)):
                 waiting[-1].append(run)
-                size += sum(map(len, run))
-                if size >= BLOCK:
+                held += len(run)
+                if len(self.new) >= NEW or held >= WAITING:
                     *whole, rest = settle()
                     if whole:
                         yield b"".join([*done, whole[0]])
                         yield from whole[1:]
                         done = []
                     done.append(rest)
-                    waiting, size = [[]], 0
+                    waiting, held = [[]], 0
         if waiting:
             whole = settle()
             yield b"".join([*done, whole[0]])
@@ -202,11 +241,20 @@ def read_ranks(path: str) -> bytes:
     return ranks
 
 
+def _of_worker(ranks: bytes, pattern: str) -> BytePairs:
+    """One coder per worker process, so that tasks that follow each other share what it remembers."""
+    held = sys.modules.setdefault("molfold_byte_pairs_of_worker", ModuleType("molfold_byte_pairs_of_worker")).__dict__
+    key = (hashlib.sha256(ranks).digest(), pattern)
+    if key not in held:
+        held[key] = BytePairs(ranks, pattern)
+    return held[key]
+
+
 def _mapped(values: Column, spark: SparkSession, path: str, pattern: str, encode: bool) -> Column:
     ranks = spark.sparkContext.broadcast(read_ranks(path))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = BytePairs(ranks.value, pattern)
+        coder = _of_worker(ranks.value, pattern)
         for batch in batches:
             rows = (v.as_py() for v in batch)
             yield pa.array(list(coder.encode(rows) if encode else coder.decode(rows)), pa.binary())

@@ -27,7 +27,7 @@ def coder():
 
 def hard_texts():
     rng = random.Random(13)
-    texts = ["", " ", "a", "\n\n  x", "don't I'll", "<|endoftext|>", "ééé naïve", "日本語のテキスト、中文", "हिन्दी", "🙂🙂🙂", "\x00\x01", "a" * 5000, " " * 3001 + "x", "=-" * 700]
+    texts = ["", " ", "a", "\n\n  x", "don't I'll", "<|endoftext|>", "ééé naïve", "日本語のテキスト、中文", "हिन्दी", "🙂🙂🙂", "\x00\x01", "\x1c\x1d a\x85b\u3000c \x0b\x0cd\x1f", "a" * 5000, " " * 3001 + "x", "=-" * 700]
     texts += ["".join(rng.choice("ACGT") for _ in range(3000)), "".join(rng.choice("abcdefghijklmnop") for _ in range(4000))]
     texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x2000), rng.randrange(0x4E00, 0x4F00), 10, 32])) for _ in range(rng.randrange(200))) for _ in range(200)]
     return texts
@@ -45,8 +45,10 @@ def test_ids_are_those_of_the_library(coder, library):
 
 
 def test_small_blocks_and_few_rounds_change_nothing(coder, library, monkeypatch):
-    monkeypatch.setattr(B, "BLOCK", 64)
-    monkeypatch.setattr(B, "MEMORY", 100)
+    monkeypatch.setattr(B, "RUN", 5)
+    monkeypatch.setattr(B, "NEW", 7)
+    monkeypatch.setattr(B, "WAITING", 20)
+    monkeypatch.setattr(B, "MEMORY", 300)
     monkeypatch.setattr(B, "MOST_ROWS", 2000)
     monkeypatch.setattr(B, "TOKENS", 7)
     texts = hard_texts()[:20] + [t[:300] for t in hard_texts()[:20]]
