@@ -34,13 +34,13 @@ from pyspark.sql import functions as F
 #: Largest vocabulary that is sent to every executor.
 MOST_VOCABULARY = 64 << 20
 #: Pieces cut at a time, new ones that are encoded together, and all that wait for them.
-RUN, NEW, WAITING = 1 << 16, 100_000, 1 << 22
+RUN, NEW, WAITING = 1 << 16, 20_000, 1 << 20
 #: Bytes of pieces whose ids a worker remembers.
-MEMORY = 1 << 23
+MEMORY = 6 << 20
 #: Token rows that one recursion may make.
 MOST_ROWS = 1 << 22
 #: Tokens decoded at a time.
-TOKENS = 1 << 20
+TOKENS = 1 << 19
 
 #: Every state of every piece, with the round that made it.  A piece leaves the
 #: recursion when no pair of it has a rank.  A piece with one least pair loses
