@@ -11,18 +11,15 @@ Documents are one row each and pieces meet only within a task, so nothing is
 shuffled.  Texts wait as numbers of their pieces until there are enough new
 pieces for a recursion, so a very long one needs little more memory than
 others; the recursion stops after as many rounds as its rows allow and goes on
-from where it was.  A worker remembers the ids of pieces, up to a bound.
+from where it was.  A task remembers the ids of pieces, up to a bound.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
-import sys
 from collections.abc import Iterator
 from itertools import islice
 from operator import methodcaller
-from types import ModuleType
 
 import duckdb
 import numpy as np
@@ -35,7 +32,7 @@ from pyspark.sql import functions as F
 MOST_VOCABULARY = 64 << 20
 #: Pieces cut at a time, new ones that are encoded together, and all that wait for them.
 RUN, NEW, WAITING = 1 << 16, 20_000, 1 << 20
-#: Bytes of pieces whose ids a worker remembers.
+#: Bytes of pieces whose ids a task remembers.
 MEMORY = 6 << 20
 #: Token rows that one recursion may make.
 MOST_ROWS = 1 << 22
@@ -241,20 +238,11 @@ def read_ranks(path: str) -> bytes:
     return ranks
 
 
-def _of_worker(ranks: bytes, pattern: str) -> BytePairs:
-    """One coder per worker process, so that tasks that follow each other share what it remembers."""
-    held = sys.modules.setdefault("molfold_byte_pairs_of_worker", ModuleType("molfold_byte_pairs_of_worker")).__dict__
-    key = (hashlib.sha256(ranks).digest(), pattern)
-    if key not in held:
-        held[key] = BytePairs(ranks, pattern)
-    return held[key]
-
-
 def _mapped(values: Column, spark: SparkSession, path: str, pattern: str, encode: bool) -> Column:
     ranks = spark.sparkContext.broadcast(read_ranks(path))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = _of_worker(ranks.value, pattern)
+        coder = BytePairs(ranks.value, pattern)
         for batch in batches:
             rows = (v.as_py() for v in batch)
             yield pa.array(list(coder.encode(rows) if encode else coder.decode(rows)), pa.binary())
