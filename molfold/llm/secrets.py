@@ -6,8 +6,10 @@ every run of one character class long enough for the window is a candidate: a
 window slides over it, the count of each character in the window is kept up
 to date as one character enters and one leaves, and so is the window's
 Shannon entropy.  Windows at or above the threshold of the class are joined
-to one span per run; runs on the allow-list (words, numbers, UUIDs, paths of
-words) are passed over.
+to one span per run; runs on the allow-list (words, numbers, UUIDs) are passed
+over, and so are those whose parts between separators are all ordinary: words,
+camel case, numbers, a word with a few digits, time stamps.  Paths, slugs and
+file names are made of such parts.
 
 Everything is one expression per row: no shuffle, and no Python on the way.
 A regular expression has no positions in SQL, so matches are fenced with a
@@ -63,6 +65,14 @@ ALLOWED = (
     "[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}",  # UUIDs
     "[0-9]+([-_/+][0-9]+)+",  # dates and number lists
 )
+SEPARATORS = "[-_/+]+"
+#: One part of a path, slug or file name; repetitions are bounded, as Java's matcher recurses.
+ORDINARY = (
+    "",
+    "([A-Z]?[a-z]+|[A-Z]+)([A-Z][a-z]{2,}){0,7}[0-9]{0,6}",  # words, camel case, a few digits after
+    "[0-9]+[a-z]{0,2}",  # numbers with a unit or an ending
+    "[0-9]{1,8}[Tx][0-9]{1,6}Z?",  # times and sizes
+)
 
 
 def match_spans(text: Column, pattern: str) -> Column:
@@ -159,11 +169,14 @@ def dense_windows(run: Column, kind: CharacterClass, window: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(run) - 1), start, step, ended)
 
 
-def entropy_matches(text: Column, kind: CharacterClass, window: int, allowed: tuple[str, ...]) -> Column:
+def entropy_matches(text: Column, kind: CharacterClass, window: int, allowed: tuple[str, ...], ordinary: tuple[str, ...]) -> Column:
     """array of struct(start, end) of dense stretches in runs of the class."""
-    runs = match_spans(text, f"{kind.pattern}{{{window},}}")
-    listed = f"^({'|'.join(allowed)})$"
-    asked = F.filter(runs, lambda m: ~F.rlike(m["found"], F.lit(listed))) if allowed else runs
+    asked = match_spans(text, f"{kind.pattern}{{{window},}}")
+    whole = lambda text, listed: F.rlike(text, F.lit(f"^({'|'.join(listed)})$"))
+    if allowed:
+        asked = F.filter(asked, lambda m: ~whole(m["found"], allowed))
+    if ordinary:
+        asked = F.filter(asked, lambda m: ~F.forall(F.split(m["found"], SEPARATORS, -1), lambda part: whole(part, ordinary)))
     dense = F.transform(
         asked,
         lambda m: let(
@@ -175,7 +188,11 @@ def entropy_matches(text: Column, kind: CharacterClass, window: int, allowed: tu
 
 
 def secret_spans(
-    text: Column, window: int = WINDOW, classes: tuple[CharacterClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED
+    text: Column,
+    window: int = WINDOW,
+    classes: tuple[CharacterClass, ...] = CLASSES,
+    allowed: tuple[str, ...] = ALLOWED,
+    ordinary: tuple[str, ...] = ORDINARY,
 ) -> Column:
     """All spans of a text, sorted: array of struct(start, rank, end, kind).
 
@@ -184,7 +201,7 @@ def secret_spans(
     """
     text = F.coalesce(text, F.lit(""))
     kinds = [(kind, base_matches(text, pattern, group, least)) for kind, pattern, group, least in BASE]
-    kinds += [(c.kind, entropy_matches(text, c, window, allowed)) for c in classes]
+    kinds += [(c.kind, entropy_matches(text, c, window, allowed, ordinary)) for c in classes]
 
     def shaped(rank: int, kind: str, spans: Column) -> Column:
         one = lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"))

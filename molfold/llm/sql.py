@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .secrets import ALLOWED, ASSIGN, CLASSES, WINDOW, char_cost, most_cost
+from .secrets import ALLOWED, ASSIGN, CLASSES, ORDINARY, SEPARATORS, WINDOW, char_cost, most_cost
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -62,6 +62,7 @@ def _dense(kind) -> str:
         SELECT doc_id, s, w, c, {costs}[count(*) + 1] AS cost
         FROM ({_spans(f'{kind.pattern}{{{WINDOW},}}')}) AS runs, unnest(range(0, length(m) - {WINDOW} + 1)) AS r(w), unnest(string_split(substring(m, CAST(w AS INTEGER) + 1, {WINDOW}), '')) AS u(c)
         WHERE NOT regexp_full_match(m, {_quoted('|'.join(ALLOWED))})
+          AND len(list_filter(regexp_split_to_array(m, '{SEPARATORS}'), lambda part: NOT regexp_full_match(part, {_quoted('|'.join(ORDINARY))}))) > 0
         GROUP BY doc_id, s, w, c) GROUP BY doc_id, s, w)
     WHERE cost <= {most_cost(WINDOW, kind.threshold)} GROUP BY doc_id, s"""
 

@@ -168,7 +168,7 @@ def plain_entropy(text, kind):
     cost, most, out = S.char_cost(S.WINDOW), S.most_cost(S.WINDOW, kind.threshold), []
     for m in re.finditer(f"{kind.pattern}{{{S.WINDOW},}}", text or ""):
         run = m.group()
-        if any(re.fullmatch(p, run) for p in S.ALLOWED):
+        if any(re.fullmatch(p, run) for p in S.ALLOWED) or all(re.fullmatch("|".join(S.ORDINARY), part) for part in re.split(S.SEPARATORS, run)):
             continue
         dense = [i for i in range(len(run) - S.WINDOW + 1) if sum(cost[run[i : i + S.WINDOW].count(c)] for c in set(run[i : i + S.WINDOW])) <= most]
         if dense:
@@ -176,14 +176,20 @@ def plain_entropy(text, kind):
     return out
 
 
+PATHS = [
+    "com/2023/05/quick-brown-fox-jumps-over", "com/org/project-name/blob/main/src/utils2/helpers", "docs/v2/getting_started/installation-guide", "2023-05-17T12-45-33-backup_file",
+    "nature12373-supplementary-information", "/usr/local/lib/python3/site-packages/HTMLParser2", "src/test/java/FooBarHandlerTest", "img_20230517T124533Z_1920x1080_final", "top-10-things-to-do-in-2024-3rd",
+]
+
+
 def secret_texts():
     rng = random.Random(6)
     parts = [
         "password=abcdefghijkl", "Token : 'abc.def-ghi_jkl='", "secret=short", "api_key=token=abcdefghijklmnop", "password=token: abcdefghijkl", "AKIA" + "Q7" * 8, "AKIAAKIA1",
         "deadbeef" * 3, "0123456789abcdef0", "ÀÉ\U0001f600", "\x01\x02", "Zk9xQ2mB7vLr5TtY1wNc8sHd3fGj", "x" * 40, "123e4567-e89b-12d3-a456-426614174000", "some-long-hyphenated-words-here", "2024-01-02-03-04-05-06-07",
-        "PASSWD\"   =  \"aaaaaaaaaaaaaaaa", "secret==xxxxxxxxxxxx",
+        "PASSWD\"   =  \"aaaaaaaaaaaaaaaa", "secret==xxxxxxxxxxxx", *PATHS, "com/2023/Zk9xQ2mB7vLr5TtY1wNc8sHd3fGj/main",
     ]
-    return [rng.choice(["", " ", "\n"]).join(rng.choices(parts, k=rng.randint(0, 6))) for _ in range(120)] + [None, "", "7c4f" * 700, " ".join(["0f1e2d3c4b5a69788796"] * 1500)]
+    return [rng.choice(["", " ", "\n"]).join(rng.choices(parts, k=rng.randint(0, 6))) for _ in range(120)] + [None, "", "7c4f" * 700, "a1-b2_" * 3000, " ".join(["0f1e2d3c4b5a69788796"] * 1500)]
 
 
 def test_secrets(shared):
@@ -199,6 +205,16 @@ def test_secrets(shared):
     assert S.scan_secrets(df.where("false")).collect() == []
 
 
+def test_ordinary_paths_stay_and_random_keys_go(shared):
+    rng = random.Random(9)
+    letters = S.DIGITS + S.LETTERS + "+/_-"
+    keys = ["".join(rng.choices(letters, k=n)) for n in (24, 32, 40, 64) for _ in range(250)]
+    df = shared.createDataFrame([(k, t) for k, t in enumerate(PATHS + keys)], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in S.scan_secrets(df).select("doc_id", "spans").collect()}
+    assert not any(spans[k] for k in range(len(PATHS)))
+    assert sum(bool(spans[len(PATHS) + k]) for k in range(len(keys))) >= 980
+
+
 def test_secrets_run_without_python(shared):
     plan = S.scan_secrets(shared.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
