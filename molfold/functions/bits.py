@@ -212,6 +212,38 @@ def packed_bytes(fp, bitorder: str = "little") -> Column:
     )
 
 
+def packed_binary(fp, bitorder: str = "little") -> Column:
+    """The packed bytes as BINARY, one row of a fingerprint matrix."""
+    return F.unhex(packed_bytes(fp, bitorder))
+
+
+def unpacked(packed, bitorder: str = "little") -> Column:
+    """Words of packed bytes (BINARY), the inverse of :func:`packed_binary`.
+
+    Bytes missing from the last word count as zero.
+    """
+    text = F.hex(_col(packed))
+    n_words = F.ceil(F.length(text) / 16).cast("int")
+    text = F.rpad(text, n_words * 16, F.lit("0"))
+    if bitorder == "big":  # bits of a byte mirrored: halves swapped, each mirrored
+        text = F.regexp_replace(F.translate(text, "0123456789ABCDEF", "084C2A6E195D3B7F"), "(.)(.)", "$2$1")
+
+    def word(k):
+        return F.conv(F.concat(*[F.substring(text, k * 16 + 15 - 2 * b, F.lit(2)) for b in range(8)]), 16, -10).cast("bigint")
+
+    return F.when(n_words > 0, F.transform(F.sequence(F.lit(0), n_words - 1), word)).otherwise(F.array().cast("array<bigint>"))
+
+
+def packbits(flags) -> Column:
+    """Bytes (0 to 255) of a list of booleans, the first in the highest bit of
+    its byte; the last byte is filled up with zeros, null counts as false."""
+    flags = _col(flags)
+    at = lambda k, j: F.when(F.get(flags, k * 8 + j), F.lit(1 << (7 - j))).otherwise(0)
+    byte = lambda k: sum((at(k, j) for j in range(1, 8)), at(k, 0))
+    n = F.ceil(F.size(flags) / 8).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), byte)).when(n == 0, F.array().cast("array<int>"))
+
+
 # --- single 64-bit words -----------------------------------------------------
 
 def countl_zero(w) -> Column:
@@ -246,6 +278,13 @@ def bit_floor(w) -> Column:
     )
 
 
+def bit_ceil(w) -> Column:
+    """The least power of two not below ``w``, read as unsigned; null if that is 2^64."""
+    w = _col(w)
+    exponent = F.when(w == 0, 0).when(has_single_bit(w), bit_width(w) - 1).otherwise(bit_width(w)).cast("int")
+    return F.when(exponent < 64, F.call_function("shiftleft", F.lit(1).cast("bigint"), exponent))
+
+
 def rotl(w, s: int) -> Column:
     s %= 64
     return F.shiftleft(_col(w), s).bitwiseOR(F.shiftrightunsigned(_col(w), (64 - s) % 64)) if s else _col(w)

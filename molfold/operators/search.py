@@ -27,6 +27,8 @@ from .scratch import written
 
 # a (bit, popcount) group is cut into blocks of about this many rows
 BLOCK_ROWS = 4_096
+#: Places over which the rows of one crowded fingerprint are dealt.
+SALTS = 64
 
 
 def band(count: int, threshold: float) -> tuple[int, int]:
@@ -395,9 +397,22 @@ def neighbour_counts(db: DataFrame, threshold: float) -> DataFrame:
     )
     reps = distinct_fingerprints(db.where("popcnt > 0")).withColumnRenamed("id", "rep")
     totals = reps.join(per_fp, "rep", "left").select(
-        "fp", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("neighbours")
-    )
-    return (
-        db.join(totals, "fp", "left")
-        .select("id", F.coalesce("neighbours", F.lit(0)).alias("neighbours"))
+        "fp", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("neighbours")
     )
+    return to_rows(db, written(totals, "neighbours")).select("id", F.coalesce("neighbours", F.lit(0)).alias("neighbours"))
+
+
+def to_rows(db: DataFrame, per_fp: DataFrame) -> DataFrame:
+    """``db`` with what is known of each fingerprint, null where nothing is.
+
+    ``per_fp`` has one row per fingerprint, with its number of ``copies``.  A
+    fingerprint of more than a thousandth of all rows is crowded; there are
+    fewer than a thousand, so their list is broadcast, and their rows are dealt
+    over ``SALTS`` places while all others meet at one.
+    """
+    total = per_fp.agg(F.sum("copies")).first()[0] or 0
+    crowded = F.broadcast(per_fp.where(F.col("copies") * 1000 > total).select("fp", F.lit(True).alias("_crowded")))
+    rows = db.join(crowded, "fp", "left").withColumn("_salt", F.when(F.col("_crowded"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("int"))
+    places = F.when(F.col("_crowded"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    known = per_fp.join(crowded, "fp", "left").withColumn("_salt", F.explode(places))
+    return rows.drop("_crowded").join(known.drop("_crowded"), ["fp", "_salt"], "left").drop("_salt")

@@ -10,6 +10,7 @@ from ..functions import morgan as M
 from ..functions.columnar import with_molecule
 from ..operators.scratch import scratch_path
 from ..sources import csvfile, formats, fpfile, sdf, smi
+from ..sources.listing import list_files
 from . import tables as T
 from .chemistry import _DSQL, _ELEMENTS, _G, _M, _QED, _S, _VIOL, library
 from .pieces import smiles_cte
@@ -49,6 +50,16 @@ def smi_records(spark, sf):
     return smi.records_from_lines(_lines(spark, sf))
 
 
+@query("io16_directory_scan", f"""{_S} SELECT '.txt' AS extension, true AS named, sum(strlen(smiles) + strlen('ID' || mol_id) + 2)::BIGINT AS n_bytes FROM smi""")
+def directory_scan(spark, sf):
+    """Sizes of the files of a written library, from the listing alone."""
+    path = scratch_path(spark, "listed")
+    smi.write_smi(T.smiles_rows(spark, sf).select("smiles", F.concat(F.lit("ID"), "mol_id").alias("id")), path)
+    files = list_files(spark, path, "*.txt").where("length > 0")
+    named = F.bool_and(F.concat("stem", "extension") == F.col("name"))
+    return files.groupBy("extension").agg(named.alias("named"), F.sum("length").alias("n_bytes"))
+
+
 @query("io03_whole_files", f"""{_S} SELECT sum(1 + CASE mol_id % 7 WHEN 0 THEN length(smiles || 'ID' || mol_id) + 1 WHEN 1 THEN length(smiles || 'ID' || mol_id) + 5 WHEN 2 THEN length(smiles)
   WHEN 3 THEN length(smiles) + 2 WHEN 4 THEN 0 WHEN 5 THEN length(smiles || 'ID' || mol_id) + 6 ELSE length('ID' || mol_id) + 1 END)::BIGINT AS n_chars FROM smi""")
 def whole_files(spark, sf):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import bits as B
 from ..operators import search as K
 from ..operators.clusters import ClusterIndex
+from ..operators.leaders import sphere_exclusion
 from ..operators.scratch import scratch_path, written
 from . import tables as T
 from .registry import query
@@ -160,6 +161,23 @@ def packed_bytes(spark, sf):
     return d.select("id", B.packed_bytes("fp").alias("little"), B.packed_bytes("fp", "big").alias("big"))
 
 
+@query("io18_unpacked_words", f"{_SIGN} SELECT id, {_SIGNED.format(u='u')} AS little, {_SIGNED.format(u='u')} AS big, 8 AS n_bytes FROM w", ints=("n_bytes",))
+def unpacked_words(spark, sf):
+    """Packed bytes as binary rows and back to words, in both bit orders."""
+    d = T.sign_bits(spark, sf).select("id", B.packed_binary("fp").alias("little"), B.packed_binary("fp", "big").alias("big"))
+    return d.select("id", B.unpacked("little")[0].alias("little"), B.unpacked("big", "big")[0].alias("big"), F.length("little").alias("n_bytes"))
+
+
+@query("s13_bit_ceil_packbits", f"""WITH v AS (SELECT vec_id AS id, embedding AS e, floor(abs(embedding[1]::DOUBLE) * 1000000)::BIGINT AS w FROM embeddings)
+  SELECT id, w, CASE WHEN w <= 1 THEN 1 ELSE list_min(list_filter(list_transform(range(40), lambda i: (1::BIGINT << i)), lambda p: p >= w)) END AS ceil_bit,
+   list_transform(range(8), lambda k: list_sum(list_transform(range(8), lambda j: CASE WHEN e[k * 8 + j + 1] > 0 THEN 1 << (7 - j) ELSE 0 END))::INT) AS packed FROM v""", arrays=("packed",))
+def bit_ceil_packbits(spark, sf):
+    """Next power of two of a number, and signs of a vector packed eight to a byte."""
+    e = T.table(spark, sf, "embeddings")
+    w = F.floor(F.abs(F.get("embedding", F.lit(0)).cast("double")) * 1000000).cast("bigint")
+    return e.select(F.col("vec_id").alias("id"), w.alias("w"), B.packbits(F.transform(F.slice("embedding", 1, 64), lambda x: x > 0)).alias("packed")).withColumn("ceil_bit", B.bit_ceil("w"))
+
+
 # ---------------------------------------------------------------- search
 
 # one query: the words of a fixed sentence of the corpus vocabulary
@@ -243,6 +261,21 @@ def cluster_search(spark, sf):
     return ClusterIndex(T.document_bits(spark, sf)).search(T.benchmark_bits(spark, sf), 0.2)
 
 
+_SPHERES = _SIGN.replace("WITH", "WITH RECURSIVE", 1) + """, nb AS (SELECT x.id, y.id AS o FROM w x JOIN w y ON x.n > 0 AND y.n > 0 AND bit_count(x.u & y.u)::DOUBLE / (x.n + y.n - bit_count(x.u & y.u)) >= 0.4),
+ sz AS (SELECT w.id, count(nb.o) AS size, list(nb.o) FILTER (WHERE nb.o IS NOT NULL) AS near FROM w LEFT JOIN nb ON nb.id = w.id GROUP BY w.id),
+ o AS (SELECT *, row_number() OVER (ORDER BY size DESC, id) AS pos FROM sz),
+ r AS (SELECT 0::BIGINT AS pos, []::BIGINT[] AS leaders UNION ALL
+   SELECT o.pos, CASE WHEN list_has_any(r.leaders, o.near) THEN r.leaders ELSE list_append(r.leaders, o.id) END FROM r JOIN o ON o.pos = r.pos + 1),
+ led AS (SELECT o.id AS leader, o.pos FROM o JOIN (SELECT unnest(leaders) AS id FROM r WHERE pos = (SELECT max(pos) FROM r)) USING (id))
+ SELECT o.id, coalesce(arg_min(led.leader, led.pos), o.id) AS leader, greatest(o.size - 1, 0) AS neighbours FROM o LEFT JOIN nb ON nb.id = o.id LEFT JOIN led ON led.leader = nb.o GROUP BY o.id, o.size"""
+
+
+@query("j09_sphere_exclusion", _SPHERES)
+def sphere_clusters(spark, sf):
+    """Every vector with the leader of its cluster."""
+    return sphere_exclusion(written(T.sign_bits(spark, sf), "signs"), 0.4)
+
+
 @query("k04_sorted_by_popcount", f"{_DOCS} SELECT id, n AS popcnt, row_number() OVER (ORDER BY n, id) - 1 AS position FROM d")
 def sorted_by_popcount(spark, sf):
     """Position of each row in popcount order, from per-popcount offsets."""

@@ -471,6 +471,26 @@ def math_functions(spark, sf):
     )
 
 
+@query("x04_midpoints_and_infinities", """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount::DOUBLE AS d, l_tax::DOUBLE AS t, CASE l_partkey % 5 WHEN 0 THEN 'inf'::DOUBLE WHEN 1 THEN '-inf'::DOUBLE ELSE l_quantity::DOUBLE END AS q FROM lineitem)
+  SELECT l_orderkey, l_linenumber, round(d + (t - d) / 2, 9) AS middle, CAST(CASE WHEN l_partkey >= l_orderkey THEN l_orderkey + (l_partkey - l_orderkey) // 2 ELSE l_orderkey - (l_orderkey - l_partkey) // 2 END AS BIGINT) AS whole_middle,
+   isinf(q) AS infinite, q < 0 AND isinf(q) AS below_all, round(2 * pi() * d, 9) AS around, round(exp(1) * t, 9) AS e_times FROM l""")
+def midpoints_and_infinities(spark, sf):
+    """Midpoints (whole ones rounded towards the first number), infinite values, the constants pi and e."""
+    d, t, k = F.col("l_discount").cast("double"), F.col("l_tax").cast("double"), F.col("l_partkey") % 5
+    inf = float("inf")
+    li = lineitem(spark, sf).withColumn("q", F.when(k == 0, F.lit(inf)).when(k == 1, F.lit(-inf)).otherwise(F.col("l_quantity").cast("double")))
+    return li.select(
+        "l_orderkey", "l_linenumber", F.round(d + (t - d) / 2, 9).alias("middle"), F.expr("l_orderkey + (l_partkey - l_orderkey) div 2").alias("whole_middle"),
+        (F.abs("q") == inf).alias("infinite"), (F.col("q") == -inf).alias("below_all"), F.round(F.pi() * 2 * d, 9).alias("around"), F.round(F.e() * t, 9).alias("e_times"),
+    )
+
+
+def erased(values, start: int, count: int | None = None):
+    """A list without ``count`` values from position ``start`` (from 0) on, or without all that follow."""
+    head = F.slice(values, 1, start)
+    return head if count is None else F.concat(head, F.slice(values, F.lit(start + count + 1), F.size(values)))
+
+
 def _running(values: str):
     """Cumulative sums, by a fold that keeps the last sum."""
     start = F.struct(F.lit(0).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("sums"))
@@ -533,6 +553,15 @@ def variant(spark, sf):
     return v.select("event_id", kind.alias("kind"), shown.alias("shown"))
 
 
+@query("x09_clear_and_erase", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 100)::BIGINT) AS v FROM embeddings)
+  SELECT vec_id, 0 AS n_cleared, list_concat(v[1:2], v[4:]) AS third_erased, list_concat(v[1:1], v[5:]) AS range_erased FROM v""", arrays=("third_erased", "range_erased"), ints=("n_cleared",))
+def clear_and_erase(spark, sf):
+    """Lists without all, the third, and the second to fourth of their values."""
+    v = F.transform("embedding", lambda x: F.floor(x.cast("double") * 100).cast("bigint"))
+    e = embeddings(spark, sf).select("vec_id", v.alias("v"))
+    return e.select("vec_id", F.size(erased("v", 0)).alias("n_cleared"), erased("v", 2, 1).alias("third_erased"), erased("v", 1, 3).alias("range_erased"))
+
+
 @query("x09_list_operations", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE * 100)::BIGINT) AS v FROM embeddings)
   SELECT vec_id, list_append(v, 99) AS appended, v[1:-2] AS popped, list_concat([0], v) AS inserted, list_filter(v, lambda x: x <> v[1]) AS erased, v[1:2] AS head, v[-2:] AS tail, v[3:4] AS middle,
    list_reverse(v) AS reversed, v[1] AS front, v[-1] AS back, (list_position(v, v[-1]) - 1)::BIGINT AS idx, [v[1], v[1], v[1]] AS filled, list_concat(v, v) AS doubled FROM v""", arrays=("appended", "popped", "inserted", "erased", "head", "tail", "middle", "reversed", "filled", "doubled",))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """(path, name, stem, extension, length) of the files under a folder.
 
-    Contents are not read: only listing columns are selected.
+    Contents are not read: only listing columns are selected.  Empty files are
+    left out, as Spark's scans leave them out.
     """
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
     name = F.element_at(F.split("path", "/"), -1)

@@ -172,3 +172,20 @@ def test_stream(spark, tmp_path):
 def test_bad_query_is_an_error(spark):
     with pytest.raises(ValueError, match="unclosed"):
         query_words(spark, "CC(")
+
+
+def test_write_smi_and_listing(spark, tmp_path):
+    from molfold.sources.listing import list_files
+    from molfold.sources.smi import read_smi, write_smi
+
+    rows = [("CCO", "ethanol"), ("c1ccccc1", "ben zene"), ("C", "é")]
+    folder = str(tmp_path / "out")
+    write_smi(spark.createDataFrame(rows, "smiles string, id string"), folder)
+    assert sorted((r.smiles, r.id) for r in read_smi(spark, folder).collect()) == sorted(rows)
+    (tmp_path / "out" / "more.tar.gz").write_bytes(b"12345")
+    (tmp_path / "out" / "plain").write_bytes(b"x")
+    (tmp_path / "out" / "empty").write_bytes(b"")
+    got = {r["name"]: (r.stem, r.extension, r.length) for r in list_files(spark, folder).collect()}
+    assert got["more.tar.gz"] == ("more.tar", ".gz", 5) and got["plain"] == ("plain", "", 1) and "empty" not in got
+    assert sum(length for name, (*_, length) in got.items() if name.endswith(".txt")) == sum(len(f"{s}\t{i}\n".encode()) for s, i in rows)
+    assert [r["name"] for r in list_files(spark, folder, "*.gz").collect()] == ["more.tar.gz"]
