@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import functions as F
 
+from ..functions import canonical as N
+from ..functions.columnar import with_molecule
 from ..operators import substructure as U
 from ..operators.scratch import scratch_path
 from . import tables as T
@@ -95,3 +97,31 @@ def structural_alerts(spark, sf):
     wanted = {n: PATTERNS[n] for n in ("nitro", "nitrile", "primary amine")}
     m = T.molecules(spark, sf).where("mol IS NOT NULL")
     return m.select("mol_id", F.size(F.filter(U.match_counts("mol", wanted), lambda n: n > 0)).alias("alerts"))
+
+
+# classes of atoms split by their neighbours eight times: a key of the structure that needs no labelling
+_CLASSES = "c0 AS MATERIALIZED (SELECT mol_id, idx, md5(concat_ws(' ', z, charge, num_h, isotope, aromatic)) AS c FROM atoms)" + "".join(
+    f""", c{k + 1} AS MATERIALIZED (SELECT x.mol_id, x.idx, md5(any_value(x.c) || coalesce(string_agg(e.ord || y.c, ' ' ORDER BY e.ord, y.c), '')) AS c
+   FROM c{k} x LEFT JOIN ends e ON e.mol_id = x.mol_id AND e.idx = x.idx LEFT JOIN c{k} y ON y.mol_id = e.mol_id AND y.idx = e.nbr GROUP BY x.mol_id, x.idx)"""
+    for k in range(8)
+)
+
+
+@query("p17_written_molecules", f"""WITH {graph_cte()}, of_atoms AS (SELECT mol_id, count(*) AS n_atoms, sum(z * (num_h + 1) + 1000 * charge)::BIGINT AS atom_sum, count(*) FILTER (in_ring) AS ring_atoms FROM atoms GROUP BY 1),
+  of_bonds AS (SELECT b.mol_id, count(*) AS n_bonds, sum(ord * x.z * y.z)::BIGINT AS bond_sum FROM bonds b JOIN atoms x ON x.mol_id = b.mol_id AND x.idx = b.a JOIN atoms y ON y.mol_id = b.mol_id AND y.idx = b.b GROUP BY 1)
+  SELECT mol_id, n_atoms, coalesce(n_bonds, 0) AS n_bonds, atom_sum, coalesce(bond_sum, 0) AS bond_sum, ring_atoms FROM of_atoms LEFT JOIN of_bonds USING (mol_id)""", ints=("n_atoms", "n_bonds", "ring_atoms"))
+def written_molecules(spark, sf):
+    """Molecules written as canonical text and read again: their sizes and sums over atoms and bonds."""
+    texts = T.molecules(spark, sf).where("mol IS NOT NULL").select("mol_id", N.canonical_smiles("mol").alias("smiles"))
+    zs = "transform(mol.atoms, x -> x.z)"
+    return with_molecule(texts).selectExpr(
+        "mol_id", "size(mol.atoms) AS n_atoms", "size(mol.bonds) AS n_bonds", "aggregate(mol.atoms, 0L, (s, x) -> s + x.z * (x.num_h + 1) + 1000 * x.charge) AS atom_sum",
+        f"aggregate(mol.bonds, 0L, (s, b) -> s + b.bond_order * {zs}[b.a] * {zs}[b.b]) AS bond_sum", "size(filter(mol.atoms, x -> x.in_ring)) AS ring_atoms",
+    )
+
+
+@query("t05_structures", f"WITH {graph_cte()}, {_CLASSES}, keys AS (SELECT mol_id, md5(string_agg(c, ' ' ORDER BY c)) AS k FROM c8 GROUP BY 1) SELECT min(mol_id) AS first_id, count(*) AS n_molecules FROM keys GROUP BY k")
+def structures(spark, sf):
+    """Distinct structures, however written: the first molecule of each and how many there are."""
+    m = T.molecules(spark, sf).where("mol IS NOT NULL").select("mol_id", N.canonical_smiles("mol").alias("structure"))
+    return m.groupBy("structure").agg(F.min("mol_id").alias("first_id"), F.count(F.lit(1)).alias("n_molecules")).drop("structure")
