@@ -182,6 +182,11 @@ DESCRIPTOR_SQL = {
     "formal_charge": "aggregate(m.atoms, 0, (acc, x) -> acc + x.charge)",
 }
 
+DESCRIPTORS_SQL = "named_struct(" + ", ".join(f"'{n}', {body}" for n, body in DESCRIPTOR_SQL.items()) + ")"
+# over a descriptor struct bound to ``d``
+RO5_SQL = " + ".join(f"IF(d.{n} > {limit}, 1, 0)" for n, limit in RO5_LIMITS)
+QED_SQL = "pow(" + " * ".join(f"exp(-0.5D * pow((d.{n} - {best}D) / IF(d.{n} < {best}D, {(best - low) / 2.0}D, {(high - best) / 2.0}D), 2))" for n, best, low, high in QED_CURVES) + ", 1.0D / 7.0D)"
+
 # the nine columns of the batch matrix, in its order
 MATRIX_COLUMNS = (
     "mw", "logp", "tpsa", "hbd", "hba", "rotatable", "n_rings", "heavy_atoms", "fraction_csp3",

@@ -161,6 +161,16 @@ def morgan_counts(mol: str, radius: int = RADIUS, features: bool = False, chiral
     return counts(F.col(f"{mol}.atoms"), F.col(f"{mol}.bonds"))
 
 
+def fold_layers(m: pa.Array, bonds: pa.Array, radius: int, n_bits: int, features: bool = False, chirality: bool = False) -> pa.Array:
+    """Hashes of a batch folded to words of bits."""
+    words = n_bits // 64
+    row, layers = hash_layers(m, bonds, radius, features, chirality)
+    bit = (np.concatenate(layers) % np.uint32(n_bits)).astype(np.int64)
+    packed = np.zeros(len(m) * words, dtype=np.uint64)
+    np.bitwise_or.at(packed, np.tile(row, len(layers)) * words + bit // 64, np.uint64(1) << (bit % 64).astype(np.uint64))
+    return _as_lists(np.repeat(np.arange(len(m)), words), packed.view(np.int64), m)
+
+
 def morgan_fingerprint(
     mol: str, radius: int = RADIUS, n_bits: int = N_BITS, features: bool = False, chirality: bool = False
 ) -> Column:
@@ -169,21 +179,10 @@ def morgan_fingerprint(
         n_bits = N_BITS
     if n_bits % 64:
         raise ValueError("n_bits must be a multiple of 64")
-    words = n_bits // 64
 
     @F.arrow_udf("array<bigint>")
     def folded(m: pa.Array, bonds: pa.Array) -> pa.Array:
-        row, layers = hash_layers(m, bonds, radius, features, chirality)
-        bit = (np.concatenate(layers) % np.uint32(n_bits)).astype(np.int64)
-        packed = np.zeros(len(m) * words, dtype=np.uint64)
-        np.bitwise_or.at(
-            packed,
-            np.tile(row, len(layers)) * words + bit // 64,
-            np.uint64(1) << (bit % 64).astype(np.uint64),
-        )
-        rows = np.repeat(np.arange(len(m)), words)
-        out = _as_lists(rows, packed.view(np.int64), m)
-        return out
+        return fold_layers(m, bonds, radius, n_bits, features, chirality)
 
     return folded(F.col(f"{mol}.atoms"), F.col(f"{mol}.bonds"))
 

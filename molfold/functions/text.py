@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TOKENS = r"(?s)\[[^\]]*\]|\[.*|Cl|Br|[BCNOPSFIbcnops]|[-=#$:/\\]|%[0-9]*|."
+TOKENS = r"(?s)\[[^\]]*\]|\[.*|Cl|Br|[BCNOPSFIbcnops]|[-=#$:/\\]|%[0-9]*|."
 
 # Single-letter element codes.
 LETTER_Z = {"C": 6, "N": 7, "O": 8, "S": 16, "P": 15, "F": 9, "B": 5, "I": 53,
@@ -21,19 +21,24 @@ def _col(c) -> Column:
 
 
 def token_texts(s) -> Column:
-    return F.regexp_extract_all(_col(s), F.lit(_TOKENS), 0)
+    return F.regexp_extract_all(_col(s), F.lit(TOKENS), 0)
+
+
+TOKEN_KINDS = (
+    (r"^(\[[^\]]*\]|Cl|Br|[BCNOPSFIbcnops])$", "Atom"),
+    (r"^[-=#$:/\\]$", "Bond"),
+    (r"^(%[0-9]*|[0-9])$", "RingBond"),
+    (r"^\($", "BranchOpen"),
+    (r"^\)$", "BranchClose"),
+    (r"^[.]$", "Dot"),
+)
 
 
 def _token_kind(t: Column) -> Column:
-    return (
-        F.when(t.rlike(r"^(\[[^\]]*\]|Cl|Br|[BCNOPSFIbcnops])$"), "Atom")
-        .when(t.rlike(r"^[-=#$:/\\]$"), "Bond")
-        .when(t.rlike(r"^(%[0-9]*|[0-9])$"), "RingBond")
-        .when(t == "(", "BranchOpen")
-        .when(t == ")", "BranchClose")
-        .when(t == ".", "Dot")
-        .otherwise("Unknown")
-    )
+    kind = F
+    for pattern, name in TOKEN_KINDS:
+        kind = kind.when(t.rlike(pattern), name)
+    return kind.otherwise("Unknown")
 
 
 def tokenize(s) -> Column:
