@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits as B
 from ..operators import search as K
+from ..operators import sliced as L
 from ..operators.clusters import ClusterIndex
 from ..operators.leaders import sphere_exclusion
 from ..operators.scratch import scratch_path, written
@@ -244,6 +245,24 @@ def contains_bits(spark, sf):
     return found.select("id", F.col("popcnt").cast("bigint").alias("popcnt"))
 
 
+def _sliced(spark, sf):
+    """The documents' fingerprints stored bit by bit."""
+    path = scratch_path(spark, "sliced")
+    L.write_sliced(T.document_bits(spark, sf), path)
+    return path
+
+
+@query("k19_sliced_threshold", f"{_ONE} SELECT id, score FROM sc WHERE score >= 0.05")
+def sliced_threshold(spark, sf):
+    """Threshold search that reads only the columns of the query's bits."""
+    return L.threshold_sliced(spark, _sliced(spark, sf), text_words(QUERY_TEXT), 0.05)
+
+
+@query("k19_sliced_topk", f"{_ONE} SELECT id, score FROM sc ORDER BY score DESC, id LIMIT 25")
+def sliced_topk(spark, sf):
+    return L.topk_sliced(spark, _sliced(spark, sf), text_words(QUERY_TEXT), 25)
+
+
 @query("k02_topk_search", f"{_ONE} SELECT id, score FROM sc ORDER BY score DESC, id LIMIT 25")
 def topk_search(spark, sf):
     return K.topk_search(T.document_bits(spark, sf), text_words(QUERY_TEXT), 25)

@@ -10,6 +10,7 @@ from ..operators import grouping as G
 from ..operators import shuffling as H
 from ..operators import ordering as W
 from ..operators import screening as R
+from ..operators import selection as Q
 from . import tables as T
 from .chemistry import _DSQL, _VIOL
 from .registry import query
@@ -317,6 +318,13 @@ def partial_sort(spark, sf):
     return lineitem(spark, sf).select(*cols, "l_partkey").orderBy("l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey").limit(30).select(*cols)
 
 
+@query("k20_order_statistics", """WITH o AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) - 1 AS position, count(*) OVER () AS n FROM lineitem)
+  SELECT position, v AS value FROM o WHERE position IN (0, 1000, n - 1, CAST(floor(0.25::DOUBLE * (n - 1)) AS BIGINT), CAST(floor(0.5::DOUBLE * (n - 1)) AS BIGINT), CAST(floor(0.999::DOUBLE * (n - 1)) AS BIGINT))""")
+def order_statistics(spark, sf):
+    """Smallest, largest, 1001st and three quantiles of a column of many values, without sorting it."""
+    return Q.order_statistics(lineitem(spark, sf), "l_extendedprice", positions=[0, 1000, -1], fractions=[0.25, 0.5, 0.999])
+
+
 @query("k09_is_sorted", """SELECT 'o_orderkey' AS by_column, true AS sorted UNION ALL SELECT 'o_totalprice', (SELECT coalesce(bool_and(o_totalprice <= nxt), true) FROM (SELECT o_totalprice, lead(o_totalprice) OVER (ORDER BY o_orderkey) AS nxt FROM orders))""")
 def is_sorted(spark, sf):
     o = W.dense_positions(orders(spark, sf).select("o_orderkey", "o_totalprice"), ["o_orderkey"])
