@@ -1,12 +1,15 @@
-"""Near-duplicate documents by the Jaccard similarity of their word shingles.
-
-The shingle set of a document is hashed by ``bands * rows`` functions; the
-least value of each is equal in two sets with the probability of their
-similarity.  ``rows`` least values make a band, and documents that share a band
-meet: at similarity s with probability ``1 - (1 - s ** rows) ** bands``, which
-is 0.9997 at 0.8 and more above.  SimHash is no way to find such pairs: at 0.8
-they differ by a seventh of the bits, whatever the width, and segments within
-one bit of each other would have to be so short that everything meets.
+"""Near-duplicate documents by SimHash and the Jaccard similarity of their word shingles.
+
+Documents meet in two ways.  The SimHash fingerprint of the shingle set is
+indexed by its deletion variants, as in :mod:`.simhash`, so sets of up to
+``max_bits`` differing bits meet for certain.  At similarity 0.8 fingerprints
+may differ by a seventh of the bits, whatever the width, and segments within
+one bit of each other would have to be so short that everything meets.  So the
+set is also hashed by ``bands * rows`` functions; the least value of each is
+equal in two sets with the probability of their similarity.  ``rows`` least
+values make a band, and documents that share a band meet: at similarity s with
+probability ``1 - (1 - s ** rows) ** bands``, which is 0.9997 at 0.8 and more
+above.
 
 Documents of equal sets are folded first.  Whoever meets is compared on the
 whole sets, so no pair below the threshold is linked; inside a meeting place
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, utf8
 from .components import components
-from .simhash import keep_first, row_keys, shingle_hashes
+from .simhash import keep_first, majority, row_keys, shingle_hashes, variant_keys
 
 #: Shingles times functions at a time; keeps the products in cache.
 STRETCH = 1 << 10
@@ -58,16 +61,16 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
-SIGNED = "struct<same:binary,size:int,keys:array<long>>"
+SIGNED = "struct<same:binary,size:int,fp:long,keys:array<long>>"
 
 
 def signed(text: Column, width: int, bands: int, rows: int) -> Column:
-    """What equal sets share, the set's size and its band keys."""
-    kind = pa.struct([("same", pa.binary()), ("size", pa.int32()), ("keys", pa.list_(pa.int64()))])
+    """What equal sets share, the set's size, its fingerprint and its band keys."""
+    kind = pa.struct([("same", pa.binary()), ("size", pa.int32()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def one(t: bytes) -> dict:
         hashes = shingle_set(t, width)
-        return {"same": xxhash.xxh3_128_digest(hashes.tobytes()), "size": len(hashes), "keys": band_keys(hashes, bands, rows)}
+        return {"same": xxhash.xxh3_128_digest(hashes.tobytes()), "size": len(hashes), "fp": majority([hashes]), "keys": band_keys(hashes, bands, rows)}
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
@@ -76,6 +79,11 @@ def signed(text: Column, width: int, bands: int, rows: int) -> Column:
     return F.arrow_udf(run, SIGNED).asNondeterministic()(utf8(text))
 
 
+def meeting_keys(max_bits: int) -> Column:
+    """Band keys and deletion variants of the fingerprint; none for an empty set."""
+    return F.when(F.col("size") > 0, F.concat("keys", variant_keys(F.col("fp"), max_bits))).otherwise(F.col("keys"))
+
+
 def set_bytes(text: Column, width: int) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
@@ -151,7 +159,7 @@ def near_links(prints: DataFrame, sets: DataFrame, similarity: float = 0.8, bloc
     return met.join(sets(met.select("same").distinct()), "same").groupBy("key", "i", "j").applyInArrow(linked, "a binary, b binary")
 
 
-def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 5, block: int = 1 << 20) -> DataFrame:
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 5, block: int = 1 << 20, max_bits: int = 2) -> DataFrame:
     """``docs`` with one row of each group: that of the smallest id, nulls last.
 
     A group is what chains of pairs of at least this similarity connect; texts
@@ -159,7 +167,8 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row_keys(id_col, text_col))
     prints = checkpointed(keyed.select("doc_id", "__row__", "__row2__", signed(F.col("text"), width, bands, rows).alias("s")).select("doc_id", "__row__", "__row2__", "s.*"))
-    distinct = checkpointed(prints.groupBy("same").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.min(F.struct("__row__", "__row2__")).alias("r")))
+    folded = prints.groupBy("same").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min(F.struct("__row__", "__row2__")).alias("r"))
+    distinct = checkpointed(folded.withColumn("keys", meeting_keys(max_bits)))
 
     def sets(wanted: DataFrame) -> DataFrame:
         places = distinct.join(wanted, "same").select("same", "r.__row__", "r.__row2__")

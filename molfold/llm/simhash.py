@@ -20,7 +20,7 @@ are exact.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -62,8 +62,13 @@ def simhash(text: bytes, width: int = 3) -> int:
     ASCII capitals count as small letters; words are split at ASCII white
     space; a text of fewer than ``width`` words is one shingle.
     """
+    return majority(shingle_hashes(text, width))
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """Fingerprint of hashes that come in parts, 0 without any."""
     ones, count = np.zeros(BITS, np.int64), 0
-    for hashes in shingle_hashes(text, width):
+    for hashes in parts:
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         count += len(hashes)
     return int(np.packbits(2 * ones > count, bitorder="little").view("<i8")[0])

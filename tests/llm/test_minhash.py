@@ -57,6 +57,24 @@ def test_stage_keeps_one_of_each_similar_group(shared, block):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == plain_kept(rows)
 
 
+def test_sets_meet_by_their_fingerprints(shared):
+    """With one band of 60 least values hardly any pair of 0.97 shares it; two differing bits or fewer are enough."""
+    rng = random.Random(5)
+    rows, close, unlike = [], 0, 0
+    for base in range(60):
+        words = [f"w{rng.randrange(9000)}" for _ in range(400)]
+        copy = [*words[:-2], "other", "end"]
+        rows += [(2 * base, " ".join(words)), (2 * base + 1, " ".join(copy))]
+        a, b = (M.shingle_set(" ".join(w).encode()) for w in (words, copy))
+        near = (M.majority([a]) ^ M.majority([b])).bit_count() <= 2
+        close += near
+        unlike += near and not set(M.band_keys(a, 1, 60)) & set(M.band_keys(b, 1, 60))
+    assert unlike > 10
+    kept = M.keep_one_similar(shared.createDataFrame(rows, "doc_id long, text string"), bands=1, rows=60)
+    left = {r.doc_id for r in kept.collect()}
+    assert len(left) <= 120 - close and all(2 * base in left for base in range(60))
+
+
 def test_stage_of_the_pipeline(shared):
     """An edited copy far beyond two differing bits goes, a text of less than 0.8 stays."""
     rows = edited()
