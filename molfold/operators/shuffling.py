@@ -66,8 +66,7 @@ def seeded_shuffle(df: DataFrame, order: Sequence, seed: int, name: str = "place
     """
     n = df.count()
     numbered = dense_positions(df, order, "_position")
-    start = numbered.agg(F.min("_position")).first()[0] or 0
-    return numbered.withColumn(name, permuted(F.col("_position") - start, n, seed)).drop("_position")
+    return numbered.withColumn(name, permuted(F.col("_position"), n, seed)).drop("_position")
 
 
 def seeded_sample(df: DataFrame, order: Sequence, size: int, seed: int) -> DataFrame:
