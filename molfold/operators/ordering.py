@@ -5,8 +5,9 @@ are first assigned to consecutive key ranges, numbered or summed inside their
 range, and then shifted by the total of the ranges before them.  Only one row
 per range is gathered for that shift.
 
-Range bounds are taken from a small sample of the keys and become constants
-of the plan, so a row lands in the same range however often it is recomputed.
+Ranges are those of a range partitioning.  Rows are written once with the
+number of their range, so every later pass, however often it is recomputed,
+sees a row in the same range, and none repeats the work before it.
 All order columns sort ascending; pass ``-F.col("x")`` to reverse a number.
 The order must be total (add a unique column last).
 """
@@ -18,8 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES_PER_RANGE = 50
-_GROUP = 32
+from .scratch import written
 
 
 def _key(order: Sequence) -> Column:
@@ -27,40 +27,18 @@ def _key(order: Sequence) -> Column:
     return F.struct(*[c.alias(f"k{i}") for i, c in enumerate(cols)])
 
 
-def range_bounds(df: DataFrame, order: Sequence, ranges: int) -> DataFrame:
-    """One row with the sorted upper bounds of the first ``ranges - 1`` ranges.
-
-    The sample holds the keys with the smallest hashes: uniform, repeatable,
-    and found without a shuffle.
-    """
-    size = ranges * SAMPLES_PER_RANGE
-    sample = df.select(_key(order).alias("key")).orderBy(F.xxhash64("key")).limit(size)
-    step = SAMPLES_PER_RANGE
-    return sample.agg(F.array_sort(F.collect_list("key")).alias("keys")).select(
-        F.expr(f"filter(keys, (k, i) -> (i + 1) % {step} = 0)").alias("bounds")
-    )
-
-
 def with_range(df: DataFrame, order: Sequence, ranges: int | None = None, name: str = "_range") -> DataFrame:
-    """Adds the number of the key range of each row."""
+    """Adds the number of the key range of each row, stored in the shared folder."""
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = range_bounds(df, order, n).scalar()
-    # two steps of at most _GROUP and n / _GROUP comparisons
-    out = df.withColumns({"_key": _key(order), "_bounds": bounds})
-    return out.withColumn(
-        name,
-        F.expr(
-            f"transform(array(size(filter(_bounds, (b, i) -> (i + 1) % {_GROUP} = 0 AND b < _key)) * {_GROUP}), "
-            f"g -> g + size(filter(slice(_bounds, g + 1, {_GROUP}), b -> b < _key)))[0]"
-        ),
-    ).drop("_key", "_bounds")
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    return written(df.repartitionByRange(n, *cols).withColumn(name, F.spark_partition_id()), "ranges")
 
 
 def prefix_sum(
     df: DataFrame, order: Sequence, value: Column, name: str = "running", ranges: int | None = None
 ) -> DataFrame:
     """Running total of ``value`` up to and including each row."""
-    parts = with_range(df, order, ranges).withColumn("_v", value)
+    parts = with_range(df.withColumn("_v", value), order, ranges)
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
     inside = Window.partitionBy("_range").orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0)
     running = parts.withColumn("_in", F.sum("_v").over(inside))

@@ -11,6 +11,7 @@ from ..operators import shuffling as H
 from ..operators import ordering as W
 from ..operators import screening as R
 from ..operators import selection as Q
+from ..operators.scratch import written
 from . import tables as T
 from .chemistry import _DSQL, _VIOL
 from .registry import query
@@ -327,7 +328,8 @@ def order_statistics(spark, sf):
 
 @query("k09_is_sorted", """SELECT 'o_orderkey' AS by_column, true AS sorted UNION ALL SELECT 'o_totalprice', (SELECT coalesce(bool_and(o_totalprice <= nxt), true) FROM (SELECT o_totalprice, lead(o_totalprice) OVER (ORDER BY o_orderkey) AS nxt FROM orders))""")
 def is_sorted(spark, sf):
-    o = W.dense_positions(orders(spark, sf).select("o_orderkey", "o_totalprice"), ["o_orderkey"])
+    # both comparisons read it twice, so store it first
+    o = written(W.dense_positions(orders(spark, sf).select("o_orderkey", "o_totalprice"), ["o_orderkey"]), "positions")
     parts = [W.is_sorted(o, "position", c).select(F.lit(c).alias("by_column"), "sorted") for c in ("o_orderkey", "o_totalprice")]
     return parts[0].unionAll(parts[1])
 

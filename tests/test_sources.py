@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from molfold.functions.columnar import with_molecule
-from molfold.operators import grouping, ordering, screening
+from molfold.operators import grouping, ordering, screening, shuffling
 from molfold.plans.chemistry import query_words
 from molfold.sources import csvfile, fpfile, sdf, smi
 from molfold.streaming.ingest import stream_hits, stream_smi
@@ -117,6 +117,16 @@ def test_ordering_with_hot_keys(spark):
     assert med == sorted(k for k, *_ in got)[1500]
 
 
+def test_numbering_does_not_repeat_the_work_before_it(spark):
+    """Positions are computed from rows stored with their range, and a shuffle from those."""
+    df = spark.range(500).repartition(3).select((F.col("id") * 7 % 500).alias("k"))
+    for numbered in (ordering.dense_positions(df, ["k"], ranges=5), shuffling.seeded_shuffle(df, ["k"], seed=3)):
+        assert numbered.inputFiles() and all("/ranges-" in f for f in numbered.inputFiles())
+    got = ordering.dense_positions(df, ["k"], ranges=5).collect()
+    assert len(got) == 500 and all(r.k == r.position for r in got)
+    assert [r.sorted for r in ordering.is_sorted(ordering.dense_positions(df, ["k"]), "position", "k").collect()] == [True]
+
+
 def test_grouped_values_have_one_form_at_any_size(spark):
     """A key of 250,000 values is grouped like any other."""
     df = spark.range(300_000).select(F.when(F.col("id") < 250_000, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
