@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .scratch import written
 
 ROWS, QUERIES = 4096, 256
-#: Words compared at a time; bounds the memory of one step.
-STEP_WORDS = 1 << 22
+#: Pairs compared at a time; keeps one step in cache.
+STEP_PAIRS = 1 << 17
 HITS = "query_id bigint, id bigint, score double"
 
 
@@ -75,12 +75,18 @@ def _side(value: pa.ListScalar) -> dict[str, np.ndarray]:
 
 def _scores(q: dict, d: dict) -> Iterator[tuple[slice, np.ndarray]]:
     """(queries, scores of those against all rows of the block)."""
-    step = max(1, STEP_WORDS // max(1, d["fp"].size))
+    rows = len(d["id"])
+    step = max(1, STEP_PAIRS // max(1, rows))
+    words, counts = np.ascontiguousarray(d["fp"].T), d["popcnt"].astype(np.float64)
     for k in range(0, len(q["id"]), step):
         part = slice(k, k + step)
-        common = np.bitwise_count(q["fp"][part, None, :] & d["fp"][None, :, :]).sum(axis=2, dtype=np.int64)
-        union = q["popcnt"][part, None] + d["popcnt"][None, :] - common
-        yield part, common / np.maximum(union, 1)
+        asked = q["fp"][part]
+        common = np.zeros((len(asked), rows), np.uint32)
+        for w, word in enumerate(words):
+            common += np.bitwise_count(asked[:, w, None] & word)
+        union = q["popcnt"][part, None] + counts
+        union -= common
+        yield part, np.divide(common, np.maximum(union, 1, out=union), out=union)
 
 
 def _batch(query, ident, score) -> pa.RecordBatch:
@@ -99,6 +105,20 @@ def _above(threshold: float):
     return run
 
 
+def _leading(score: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k highest scores of each row that reach its floor; ties by column."""
+    bar = floor.copy()
+    many = np.flatnonzero((score >= bar[:, None]).sum(axis=1) > k)
+    if len(many):
+        # no score below the k-th can be one of the k best
+        bar[many] = np.partition(score[many], -k, axis=1)[:, -k]
+    x, y = np.nonzero(score >= bar[:, None])
+    order = np.lexsort((y, -score[x, y], x))
+    x, y = x[order], y[order]
+    nth = np.arange(len(x)) - np.searchsorted(x, x)
+    return x[nth < k], y[nth < k]
+
+
 def _best(k: int):
     """The k best rows of a block for each query that can still reach its floor there."""
 
@@ -114,10 +134,8 @@ def _best(k: int):
                 order = np.argsort(d["id"], kind="stable")
                 d = {name: values[order] for name, values in d.items()}
                 for part, score in _scores(q, d):
-                    best = np.argsort(-score, axis=1, kind="stable")[:, :k]  # ties by id
-                    values = np.take_along_axis(score, best, axis=1)
-                    x, y = np.nonzero(values >= q["floor"][part, None])
-                    yield _batch(q["id"][part][x], d["id"][best[x, y]], values[x, y])
+                    x, y = _leading(score, q["floor"][part], k)
+                    yield _batch(q["id"][part][x], d["id"][y], score[x, y])
 
     return run
 
@@ -125,12 +143,15 @@ def _best(k: int):
 def _met(queries: DataFrame, database: DataFrame, visits: list[tuple], wanted: Column | None = None) -> DataFrame:
     """Rows of (queries, rows) for every pair of blocks listed in ``visits``."""
     spark = database.sparkSession
+    places = sum({to: parts for _, to, parts, _, _ in visits}.values())
     # classes are at most as many as bits, whatever the number of rows
     listed = spark.createDataFrame(visits, "cls int, to int, parts int, low int, high int")
     to = queries.join(F.broadcast(listed), "cls")
     to = to if wanted is None else to.where(wanted)
     to = to.select("queries", F.col("to").alias("cls"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return to.join(database, ["cls", "part"]).select("queries", "rows")
+    # few blocks of many pairs: by bytes alone they would be put together in few tasks
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * places)
+    return to.repartition(n, "cls", "part").join(database.repartition(n, "cls", "part"), ["cls", "part"]).select("queries", "rows")
 
 
 def threshold_pairs(db: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +177,25 @@ def test_cluster_search(spark, db, sets, monkeypatch):
             got = {(r.query_id, r.id): r.score for r in index.search(table(spark, qs), threshold).collect()}
             assert got == {(a, b): brute.tanimoto(q, s) for a, q in enumerate(qs) for b, s in enumerate(sets) if q and brute.tanimoto(q, s) >= threshold}
     assert clusters.ClusterIndex(db.where("false")).search(table(spark, qs), 0.5).count() == 0
+
+
+def test_leading_scores_against_a_full_sort():
+    rng = np.random.default_rng(2)
+    for k, rows in ((1, 1), (3, 2), (5, 60)):
+        score = rng.integers(0, 6, (40, rows)) / 5
+        floor = rng.integers(0, 6, 40) / 5
+        x, y = blocked._leading(score, floor, k)
+        want = [(i, j) for i in range(40) for j in sorted(range(rows), key=lambda j: (-score[i, j], j))[:k] if score[i, j] >= floor[i]]
+        assert list(zip(x.tolist(), y.tolist(), strict=True)) == want
+
+
+def test_pairs_of_small_blocks_are_spread(spark, monkeypatch):
+    """Few bytes, many comparisons: blocks are not put together in a few tasks."""
+    monkeypatch.setattr(blocked, "ROWS", 16)
+    rng = random.Random(3)
+    words = [rng.getrandbits(62) for _ in range(400)]
+    db = spark.createDataFrame([(i, [w], w.bit_count()) for i, w in enumerate(words)], "id long, fp array<bigint>, popcnt int")
+    pairs = K.multi_threshold_search(db, db, 0.5)
+    assert pairs.rdd.getNumPartitions() >= 40
+    want = sum((a & b).bit_count() * 2 >= (a | b).bit_count() for a in words for b in words)
+    assert pairs.count() == want
