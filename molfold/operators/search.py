@@ -289,30 +289,51 @@ def _sides(rows: DataFrame, sizes: DataFrame, block_rows: int) -> tuple[DataFram
 _PAIR_SCHEMA = "id_a bigint, id_b bigint, common int, na int, nb int, copies_a bigint, copies_b bigint"
 
 
+#: Words compared before the first rows are given up.
+FIRST_WORDS = 4
+
+
 def _block_hits(threshold: float):
-    """Hits of one block against another, a row of words at a time."""
+    """Hits of one block against another, a row of words at a time.
+
+    Sets of a and b bits that score t differ by (a + b)(1 - t) / (1 + t) bits
+    at most.  Differing bits are counted a few words at a time, and a row that
+    has too many of them is given up, so most pairs cost their first words.
+    """
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         def side(t):
             fp = t["fp"].combine_chunks()
             words = fp.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(fp), -1)
-            return words, *(t[c].to_numpy() for c in ("id", "popcnt", "copies", "cls"))
+            return words, *(t[c].to_numpy() for c in ("id", "popcnt", "copies"))
 
-        aw, ai, an, ac, acls = side(left)
-        bw, bi, bn, bc, bother = side(right)
+        aw, ai, an, ac = side(left)
+        right = right.sort_by("popcnt")
+        bw, bi, bn, bc = side(right)
         inside = len(left) > 0 and len(right) > 0 and left["cls"][0] == left["other"][0]
+        first = np.ascontiguousarray(bw[:, :FIRST_WORDS].T)
+        low = np.searchsorted(bn, np.ceil(an * threshold) - 1)
+        high = np.searchsorted(bn, np.floor((an + 1) / threshold) + 1, side="right")
+        # loose by far more than rounding; the exact test follows in the plan
+        share = (1 - threshold) / (1 + threshold) + 1e-9
         out = []
-        for k in range(len(ai)):
-            near = (bn * threshold <= an[k] + 1) & (an[k] * threshold <= bn + 1)
+        for k, (lo, hi) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
+            apart = np.zeros(hi - lo, np.uint16)
+            for word, own in zip(first, aw[k], strict=False):
+                apart += np.bitwise_count(word[lo:hi] ^ own)
+            most = share * (an[k] + bn[lo:hi]) + 1e-6
+            near = apart <= most
             if inside:
-                near &= bi > ai[k]
+                near &= bi[lo:hi] > ai[k]
             at = np.flatnonzero(near)
-            common = np.bitwise_count(bw[at] & aw[k]).sum(axis=1, dtype=np.int64)
-            # loose by far more than rounding; the exact test follows in the plan
-            hit = common * (1 + threshold) + 1e-6 >= threshold * (an[k] + bn[at])
-            at, common = at[hit], common[hit]
+            apart, at = apart[at].astype(np.int64), at + lo
+            done = FIRST_WORDS
+            while done < bw.shape[1] and len(at):
+                apart += np.bitwise_count(bw[at, done : 2 * done] ^ aw[k, done : 2 * done]).sum(axis=1, dtype=np.int64)
+                near = apart <= share * (an[k] + bn[at]) + 1e-6
+                apart, at, done = apart[near], at[near], 2 * done
             if len(at):
-                n = len(at)
+                n, common = len(at), (an[k] + bn[at] - apart) // 2
                 out.append((np.full(n, ai[k]), bi[at], common, np.full(n, an[k]), bn[at], np.full(n, ac[k]), bc[at]))
         types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
         names = ("id_a", "id_b", "common", "na", "nb", "copies_a", "copies_b")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,3 +200,29 @@ def test_pairs_of_small_blocks_are_spread(spark, monkeypatch):
     assert pairs.rdd.getNumPartitions() >= 40
     want = sum((a & b).bit_count() * 2 >= (a | b).bit_count() for a in words for b in words)
     assert pairs.count() == want
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.8, 1.0])
+@pytest.mark.parametrize("words", [1, 3, 32])
+def test_rows_given_up_early_are_no_hits(threshold, words):
+    """Pairs on both sides of the threshold, in blocks whose rows come in any order of popcount."""
+    rng = np.random.default_rng(words)
+    fp = rng.integers(0, 2**63, (60, words), dtype=np.uint64) & rng.integers(0, 2**63, (60, words), dtype=np.uint64)
+    fp = np.concatenate([fp, fp ^ (np.uint64(1) << rng.integers(0, 12, (60, words)).astype(np.uint64)), fp[:9]])
+    n = np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
+
+    def side(at):
+        lists = pa.array(fp[at].view(np.int64).tolist(), pa.list_(pa.int64()))
+        return pa.table({"id": pa.array(at), "fp": lists, "popcnt": pa.array(n[at], pa.int32()), "copies": pa.array(at * 0 + 1), "cls": pa.array(at * 0), "other": pa.array(at * 0)})
+
+    got = K._block_hits(threshold)(side(rng.permutation(len(fp))), side(rng.permutation(len(fp)))).to_pylist()
+    found = {(r["id_a"], r["id_b"]): r["common"] for r in got}
+    want = {}
+    for a in range(len(fp)):
+        for b in range(a + 1, len(fp)):
+            common = int(np.bitwise_count(fp[a] & fp[b]).sum())
+            if common >= threshold * (n[a] + n[b] - common):
+                want[a, b] = common
+    assert len(found) == len(got) and want and all(found.get(pair) == common for pair, common in want.items())
+    # pairs with few differing bits only are kept for the exact test
+    assert all(common >= (threshold - 1e-6) * (n[a] + n[b] - common) for (a, b), common in found.items())
