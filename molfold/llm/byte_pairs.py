@@ -4,8 +4,8 @@ Text is cut into pieces by a pattern.  In each partition the distinct pieces
 become rows of (piece, position, token), one for each byte, in a DuckDB
 database of the task's own.  A recursive query joins neighbouring tokens with
 the merge table and contracts each piece's pair of least rank, leftmost first,
-until no pair of a piece can be merged.  Decoding joins token rows with the
-vocabulary and concatenates bytes by an ordered aggregation.
+until no pair of a piece can be merged.  Decoding looks all ids of a row up in
+the vocabulary at once and gathers their bytes.
 
 Documents are one row each and pieces meet only within a task, so nothing is
 shuffled.  Texts wait as numbers of their pieces until there are enough new
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import islice
 from operator import methodcaller
 
@@ -37,7 +38,7 @@ MEMORY = 6 << 20
 #: Token rows that one recursion may make.
 MOST_ROWS = 1 << 22
 #: Tokens decoded at a time.
-TOKENS = 1 << 19
+TOKENS = 1 << 16
 
 #: Every state of every piece, with the round that made it.  A piece leaves the
 #: recursion when no pair of it has a rank.  A piece with one least pair loses
@@ -67,9 +68,6 @@ WITH RECURSIVE t(w, s, id, round) AS (
 SELECT w, s, id, round FROM t JOIN (SELECT w, max(round) AS round FROM t GROUP BY w) AS ends USING (w, round)
 """
 
-DECODE = "SELECT row, unhex(string_agg(hex, '' ORDER BY s)) AS bytes FROM tokens JOIN vocabulary USING (id) GROUP BY row"
-
-
 class Numbers(dict):
     """Numbers of pieces in the order they are first seen."""
 
@@ -83,7 +81,7 @@ class Numbers(dict):
 
 
 class BytePairs:
-    """A vocabulary's tables in a DuckDB database in memory, with its two queries."""
+    """A vocabulary's merge table in a DuckDB database in memory, with its query, and the bytes of its tokens."""
 
     def __init__(self, ranks: bytes, pattern: str = "") -> None:
         self.ids = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in ranks.splitlines() if line.strip())}
@@ -92,16 +90,13 @@ class BytePairs:
         self._blank()
         self.numbers = Numbers(self)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})
-        self.made: set[str] = set()
+        self.merging = False
 
-    def _need(self, name: str) -> None:
-        """The merge table or the vocabulary, made when it is first needed."""
-        if name in self.made:
-            return
-        self.made.add(name)
-        if name == "vocabulary":
-            self._create("vocabulary", id=pa.array(self.ids.values(), pa.int32()), hex=pa.array([t.hex() for t in self.ids]))
+    def _need_merges(self) -> None:
+        """The merge table, made when it is first needed."""
+        if self.merging:
             return
+        self.merging = True
         made = [(self.ids[t[:k]] << 32 | self.ids[t[k:]], rank) for t, rank in self.ids.items() for k in range(1, len(t)) if t[:k] in self.ids and t[k:] in self.ids]
         self._create("merges", pair=pa.array([p for p, _ in made], pa.int64()), rank=pa.array([r for _, r in made], pa.int32()))
 
@@ -114,7 +109,7 @@ class BytePairs:
         """(number, ids as little-endian words) of each piece, once its recursion has ended."""
         if not pieces:
             return
-        self._need("merges")
+        self._need_merges()
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ends = np.cumsum(lengths)
         s = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
@@ -195,38 +190,27 @@ class BytePairs:
             yield b"".join([*done, whole[0]])
             yield from whole[1:]
 
+    @cached_property
+    def spelled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of all tokens one after another; start and length by id, length 0 of an id that is not there."""
+        starts, lengths = np.zeros((2, max(self.ids.values()) + 1), np.int64)
+        ids = np.fromiter(self.ids.values(), np.int64, len(self.ids))
+        lengths[ids] = sizes = np.fromiter(map(len, self.ids), np.int64, len(self.ids))
+        starts[ids] = np.cumsum(sizes) - sizes
+        return np.frombuffer(b"".join(self.ids), np.uint8), starts, lengths
+
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        letters, starts, lengths = self.spelled
+        ids = ids[ids < len(starts)]
+        sizes = lengths[ids]
+        places = np.repeat(starts[ids] - np.cumsum(sizes) + sizes, sizes)
+        return letters[places + np.arange(len(places))].tobytes()
+
     def decode(self, rows: Iterator[bytes]) -> Iterator[bytes]:
         """Bytes of each row of ids."""
-        waiting: list[np.ndarray] = []  # whole rows, then the one at hand
-        size = 0
-        done: list[bytes] = []  # the start of the first row that waits
-
-        def settle() -> list[bytes]:
-            self._need("vocabulary")
-            lengths = [len(ids) for ids in waiting]
-            row = np.repeat(np.arange(len(waiting), dtype=np.int32), lengths)
-            self._create("tokens", row=row, s=np.arange(len(row), dtype=np.int32), id=np.concatenate(waiting).astype(np.int32))
-            found = dict(self.db.execute(DECODE).fetchall())
-            return [found.get(number, b"") for number in range(len(waiting))]
-
         for row in rows:
             ids = np.frombuffer(row, "<u4")
-            waiting.append(ids[:0])
-            for low in range(0, len(ids), TOKENS):
-                waiting[-1] = ids[low : low + TOKENS]
-                size += len(waiting[-1])
-                if size >= TOKENS:
-                    *whole, rest = settle()
-                    if whole:
-                        yield b"".join([*done, whole[0]])
-                        yield from whole[1:]
-                        done = []
-                    done.append(rest)
-                    waiting, size = [ids[:0]], 0
-        if waiting:
-            whole = settle()
-            yield b"".join([*done, whole[0]])
-            yield from whole[1:]
+            yield b"".join(self._bytes(ids[low : low + TOKENS]) for low in range(0, len(ids), TOKENS))
 
 
 def read_ranks(path: str) -> bytes:

@@ -81,3 +81,14 @@ def test_odd_ids(shared):
     df = shared.createDataFrame([(1, None), (2, b""), (3, np.array([2**31 - 1, 0], "<u4").tobytes())], "doc_id long, ids binary")
     first = next(base64.b64decode(line.split()[0]) for line in open(PATH, "rb") if line.split()[1] == b"0")
     assert {r.doc_id: bytes(r.decoded) for r in B.decode_ids(df, PATH).collect()} == {1: b"", 2: b"", 3: first}
+
+
+def test_decoding_needs_the_vocabulary_only(monkeypatch):
+    """No table of the coder's database is asked, ids that are not there spell nothing, rows may be cut anywhere."""
+    other = B.BytePairs(B.read_ranks(PATH), public_tokenizers.PATTERN)
+    other.db.close()
+    by_id = {i: t for t, i in other.ids.items()}
+    rows = [[], [5, 300, 2**32 - 1, 7], list(range(0, 3000, 7)), [max(by_id) + 1]]
+    monkeypatch.setattr(B, "TOKENS", 5)
+    packed = [b"".join(i.to_bytes(4, "little") for i in row) for row in rows]
+    assert list(other.decode(iter(packed))) == [b"".join(by_id.get(i, b"") for i in row) for row in rows]
