@@ -4,8 +4,10 @@ Text is cut into pieces by a pattern.  In each partition the distinct pieces
 become rows of (piece, position, token), one for each byte, in a DuckDB
 database of the task's own.  A recursive query joins neighbouring tokens with
 the merge table and contracts each piece's pair of least rank, leftmost first,
-until no pair of a piece can be merged.  Decoding looks all ids of a row up in
-the vocabulary at once and gathers their bytes.
+until no pair of a piece can be merged.  Pairs of bytes that no other merge can
+get ahead of, whatever their neighbours become, are contracted beforehand, so
+the recursion begins with fewer rows.  Decoding looks all ids of a row up in the
+vocabulary at once and gathers their bytes.
 
 Documents are one row each and pieces meet only within a task, so nothing is
 shuffled.  Texts wait as numbers of their pieces until there are enough new
@@ -39,6 +41,8 @@ MEMORY = 6 << 20
 MOST_ROWS = 1 << 22
 #: Tokens decoded at a time.
 TOKENS = 1 << 16
+#: Above every rank.
+NO_RANK = np.iinfo(np.int64).max
 
 #: Every state of every piece, with the round that made it.  A piece leaves the
 #: recursion when no pair of it has a rank.  A piece with one least pair loses
@@ -98,7 +102,52 @@ class BytePairs:
             return
         self.merging = True
         made = [(self.ids[t[:k]] << 32 | self.ids[t[k:]], rank) for t, rank in self.ids.items() for k in range(1, len(t)) if t[:k] in self.ids and t[k:] in self.ids]
-        self._create("merges", pair=pa.array([p for p, _ in made], pa.int64()), rank=pa.array([r for _, r in made], pa.int32()))
+        pairs, ranks = np.array(made, np.int64).reshape(-1, 2).T
+        self._create("merges", pair=np.ascontiguousarray(pairs), rank=ranks.astype(np.int32))
+        self._find_certain(pairs >> 32, pairs & 0xFFFFFFFF, ranks)
+
+    def _find_certain(self, left: np.ndarray, right: np.ndarray, ranks: np.ndarray) -> None:
+        """Tables by two bytes, from which :meth:`_begun` tells the pairs that are merged for certain.
+
+        ``pair`` has the rank of the two bytes as a token, unless a merge of
+        that token with another has no higher rank; ``from_left`` the least rank
+        by which any token that ends in the first byte takes the second one, and
+        ``from_right`` that by which one that begins with the second takes the
+        first.  Until a lower rank than these is reached, both bytes stay.
+        """
+        letters, starts, lengths = self.spelled
+        first, last = letters[starts], letters[starts + lengths - 1]
+
+        def least(which: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            table = np.full((256, 256), NO_RANK)
+            np.minimum.at(table, (x[which], y[which]), ranks[which])
+            return table
+
+        one, other = lengths[left] == 1, lengths[right] == 1
+        near = last[left], first[right]
+        pair = least(one & other, *near)
+        grown = np.minimum(least(lengths[left] == 2, first[left], last[left]), least(lengths[right] == 2, first[right], last[right]))
+        self.pair = np.where(grown > pair, pair, NO_RANK)
+        self.from_left, self.from_right = least(other, *near), least(one, *near)
+
+    def _begun(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(piece, position, token) rows of the pieces' bytes, pairs that are certain contracted.
+
+        A pair is certain if its rank is below any by which a token on its left
+        could take its first byte or one on its right its second.  Such pairs
+        never overlap, and what their tokens can merge with has higher ranks,
+        so contracting them first changes no choice before their turn comes.
+        """
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(lengths)
+        s = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
+        w, letters = np.repeat(np.arange(len(pieces)), lengths), np.frombuffer(b"".join(pieces), np.uint8)
+        a, b, inside = letters[:-1], letters[1:], w[1:] == w[:-1]
+        rank, before, behind = (np.where(inside, t[a, b], NO_RANK) for t in (self.pair, self.from_left, self.from_right))
+        at = np.flatnonzero((rank < np.append(NO_RANK, before[:-1])[: len(rank)]) & (rank < np.append(behind[1:], NO_RANK)[: len(rank)]))
+        ids, stay = self.single[letters], np.ones(len(w), bool)
+        ids[at], stay[at + 1] = rank[at], False
+        return w[stay], s[stay], ids[stay]
 
     def _create(self, name: str, **columns: pa.Array | np.ndarray) -> None:
         self.db.register("given", pa.table(columns))
@@ -110,10 +159,7 @@ class BytePairs:
         if not pieces:
             return
         self._need_merges()
-        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        ends = np.cumsum(lengths)
-        s = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
-        w, ids = np.repeat(np.arange(len(pieces)), lengths), self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        w, s, ids = self._begun(pieces)
         while len(w):
             self._create("start", w=w.astype(np.int32), s=s.astype(np.int64), id=ids)
             rounds = max(1, min(64, MOST_ROWS // len(w)))

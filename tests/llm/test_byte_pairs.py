@@ -63,6 +63,34 @@ def test_every_token_of_the_vocabulary_is_one_id(coder):
     assert [ids_of(i) for _, i in sorted(coder._contracted(tokens))] == [[coder.ids[t]] for t in tokens]
 
 
+def test_recursion_begins_with_certain_pairs_contracted(coder, library):
+    """Fewer rows than bytes go into it, with the ids of the library."""
+    pieces = [f" {a}{b}".encode() for a in ("the", "string", "house", "morn") for b in ("ing", "qua", "ther", "zz")]
+    coder._need_merges()
+    w, s, ids = coder._begun(pieces)
+    assert len(w) < 0.8 * sum(map(len, pieces)) and (np.diff(w) >= 0).all()
+    got = dict(coder._contracted(pieces))
+    assert [ids_of(got[k]) for k in range(len(pieces))] == [library.encode_ordinary(p.decode()) for p in pieces]
+    assert [x.tolist() for x in coder._begun([b"x"])[:2]] == [[0], [0]]
+
+
+def test_certain_pairs_of_small_vocabularies():
+    """Random merges of few letters, many of them overlapping, against one pair at a time."""
+    rng = random.Random(4)
+    for _ in range(12):
+        tokens = [bytes([b]) for b in range(256)]
+        known = [t for t in tokens if t in (b"a", b"b", b"c", b"d")]
+        while len(tokens) < 256 + 25:
+            new = rng.choice(known) + rng.choice(known)
+            if len(new) < 7 and new not in tokens:
+                tokens.append(new)
+                known.append(new)
+        small = B.BytePairs(b"\n".join(base64.b64encode(t) + b" %d" % r for r, t in enumerate(tokens)), ".+")
+        whole = tiktoken.Encoding("small", pat_str=".+", mergeable_ranks={t: r for r, t in enumerate(tokens)}, special_tokens={})
+        texts = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 30))) for _ in range(200)]
+        assert [ids_of(c) for c in small.encode(iter(texts))] == [whole.encode_ordinary(t) for t in texts]
+
+
 def test_reports(shared, library):
     rows = [(i, t) for i, t in enumerate(hard_texts())] + [(1, None), (None, "null id"), (1, "a"), (1, "a")]
     df = shared.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS ids", "2 AS decoded").repartition(3)
