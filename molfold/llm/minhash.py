@@ -127,27 +127,31 @@ def spanning_links(sets: list[np.ndarray], sides: np.ndarray, similarity: float)
 
 
 def near_links(prints: DataFrame, sets: DataFrame, similarity: float = 0.8, block: int = 1 << 20) -> DataFrame:
-    """(a, b): links that connect all sets of ``prints`` (same, size, keys) that meet and are similar.
+    """(a, b): links that connect all sets of ``prints`` (node, same, size, keys) that meet and are similar.
 
-    ``sets`` has the shingle set (same, hashes) of every row of ``prints`` that is asked for.
+    ``node`` numbers the sets and stands for them in the index, which has a row
+    for each set and key and is shuffled as numbers.  ``sets`` has the shingle
+    set (same, hashes) of every row of ``prints`` that is asked for.
     """
-    index = prints.select("same", "size", F.explode("keys").alias("key"))
+    index = prints.select("node", "size", F.explode("keys").alias("key"))
     places = (
         index.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"), F.sum(F.xxhash64("same").cast("decimal(38,0)")).alias("members"), F.min("same").alias("least"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"), F.bit_xor(F.xxhash64("node")).alias("members"), F.min("node").alias("least"))
         .where("n > 1")
-        .groupBy("n", "members", "least")  # the same sets meet at many places
-        .agg(F.min("key").alias("key"), F.max("shingles").alias("shingles"))
+        .groupBy("n", "members", "least", "shingles")  # the same sets meet at many places
+        .agg(F.min("key").alias("key"))
         .select("key", F.ceil(F.col("shingles") / block).cast("int").alias("blocks"))
     )
-    met = index.join(places, "key").withColumn("own", F.pmod(F.xxhash64("same"), F.col("blocks")).cast("int"))
+    met = index.join(places, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = checkpointed(
         met.select(
             "key",
-            "same",
+            "node",
             F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))).alias("pair"),
             "own",
-        ).select("key", "pair.i", "pair.j", F.col("own").alias("side"), "same")
+        ).select("key", "pair.i", "pair.j", F.col("own").alias("side"), "node")
+        .join(prints.select("node", "same"), "node")
+        .select("key", "i", "j", "side", "same")
     )
 
     def linked(group: pa.Table) -> pa.Table:
@@ -168,7 +172,7 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row_keys(id_col, text_col))
     prints = checkpointed(keyed.select("doc_id", "__row__", "__row2__", signed(F.col("text"), width, bands, rows).alias("s")).select("doc_id", "__row__", "__row2__", "s.*"))
     folded = prints.groupBy("same").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min(F.struct("__row__", "__row2__")).alias("r"))
-    distinct = checkpointed(folded.withColumn("keys", meeting_keys(max_bits)))
+    distinct = checkpointed(folded.withColumns({"keys": meeting_keys(max_bits), "node": F.monotonically_increasing_id()}))
 
     def sets(wanted: DataFrame) -> DataFrame:
         places = distinct.join(wanted, "same").select("same", "r.__row__", "r.__row2__")

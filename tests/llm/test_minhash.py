@@ -75,6 +75,25 @@ def test_sets_meet_by_their_fingerprints(shared):
     assert len(left) <= 120 - close and all(2 * base in left for base in range(60))
 
 
+def test_index_is_shuffled_as_numbers(shared, monkeypatch):
+    """Before sets are asked for by their digests, whatever is exchanged row by row of the index holds fixed numbers only."""
+    plans = []
+    keep = M.checkpointed
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(M, "checkpointed", kept)
+    rows = edited()
+    M.keep_one_similar(shared.createDataFrame(rows, "doc_id long, text string"))
+    [met] = [p for p in plans if "explode(keys" in p]
+    grouped = [line for line in met.splitlines() if "Aggregate [key" in line]
+    assert grouped and not any("same" in line or "decimal" in line for line in grouped)
+    exploded = [line for line in met.splitlines() if "Generate explode(keys" in line]
+    assert len(exploded) == 2 and not any("same" in line for line in exploded)
+
+
 def test_stage_of_the_pipeline(shared):
     """An edited copy far beyond two differing bits goes, a text of less than 0.8 stays."""
     rows = edited()
