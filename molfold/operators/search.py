@@ -17,8 +17,10 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import bits as B
 from ..functions.once import with_once
@@ -202,28 +204,78 @@ def similarity_matrix(db: DataFrame, queries: DataFrame, pack: int = 256) -> Dat
     return met.select("id", F.explode(F.transform("qs", score)).alias("hit")).select("hit.query_id", "id", "hit.score")
 
 
-def _bit_rows(df: DataFrame) -> DataFrame:
-    return df.select("id", "popcnt", F.explode(B.on_bits("fp")).alias("bit"))
+#: Queries that visit a block of the inverted index together.
+PACK_QUERIES = 256
+
+
+def _on_bits(fps: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bit) of every set bit, by row."""
+    words = pc.fill_null(fps.flatten(), 0).to_numpy(zero_copy_only=False).astype("<i8")
+    sizes = np.diff(fps.offsets.to_numpy())
+    place, bit = np.nonzero(np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    row = np.repeat(np.arange(len(sizes)), sizes)[place]
+    return row, bit + 64 * (place - (np.cumsum(sizes) - sizes)[row])
+
+
+def _numbered(side: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """Distinct (id, popcnt), nulls equal, and the number of each row's among them."""
+    number, codes = [], {}
+    for key in zip(side["id"].to_pylist(), side["popcnt"].to_pylist(), strict=True):
+        number.append(codes.setdefault(key, len(codes)))
+    number = np.array(number, np.int64)
+    first = np.unique(number, return_index=True)[1]
+    return side.select(["id", "popcnt"]).take(pa.array(first)), number
+
+
+def _meetings(schema: pa.Schema):
+    """Counts of meetings of one block's rows with one pack's queries, a query at a time."""
+
+    def count(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        q, q_number = _numbered(queries)
+        d, d_number = _numbered(rows)
+        out = []
+        row, bit = _on_bits(rows["fp"].combine_chunks())
+        index = d_number[row][np.argsort(bit, kind="stable")]
+        begins = np.concatenate([[0], np.cumsum(np.bincount(bit))])
+        row, asked = _on_bits(queries["fp"].combine_chunks())
+        asked = asked[np.argsort(q_number[row], kind="stable")]
+        ends = np.cumsum(np.bincount(q_number[row], minlength=len(q)))
+        for k, bits in enumerate(np.split(asked, ends[:-1])):
+            lists = [index[begins[b] : begins[b + 1]] for b in bits[bits < len(begins) - 1].tolist()]
+            common = np.bincount(np.concatenate([np.empty(0, np.int64), *lists]))
+            at = np.flatnonzero(common)
+            mine, theirs = q.take(pa.array(np.full(len(at), k))), d.take(pa.array(at))
+            out.append(pa.table([mine["id"], theirs["id"], mine["popcnt"], theirs["popcnt"], pa.array(common[at], pa.int64())], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    return count
 
 
 def sparse_matrix(db: DataFrame, queries: DataFrame, part_rows: int = BLOCK_ROWS) -> DataFrame:
     """Non-zero scores through an inverted index: rows meet on shared bits and
     the number of meetings is the intersection size.
 
-    The database side of every bit is cut into parts of about ``part_rows``
-    rows, by its measured frequency, so a bit that most rows carry does not
-    land in one task; counts are combined before the shuffle by pair.
+    The database is dealt into blocks of about ``part_rows`` rows by id and
+    popcount, and each block has the lists of rows of its bits.  Queries visit
+    every block in packs; a query's counts are those of the rows in the lists
+    of its bits, so no meeting is a row of its own and only pairs with a score
+    leave the block.  Rows of one id and popcount are one, as are queries.
     """
-    rows = _bit_rows(db)
-    # one row per bit position: bounded by the fingerprint length
-    parts = rows.groupBy("bit").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts"))
-    d = rows.join(F.broadcast(parts), "bit").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
-    q = _bit_rows(queries).select(F.col("id").alias("query_id"), F.col("popcnt").alias("q_n"), "bit")
-    q = q.join(F.broadcast(parts), "bit").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    counts = d.join(q, ["bit", "part"]).groupBy("query_id", "id", "q_n", "popcnt").agg(F.count(F.lit(1)).alias("common"))
-    return counts.select(
-        "query_id", "id", "common", B.tanimoto_counts(F.col("common"), F.col("q_n"), F.col("popcnt")).alias("score")
-    )
+    spark = db.sparkSession
+    kept = lambda df: df.where("fp IS NOT NULL").select("id", "popcnt", "fp", F.xxhash64("id", "popcnt").alias("_hash"))
+    d, q = written(kept(db), "index"), written(kept(queries), "asked")
+    blocks, packs = (max(1, -(-x.count() // n)) for x, n in ((d, part_rows), (q, PACK_QUERIES)))
+    part = lambda n: F.pmod("_hash", F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # few blocks of many pairs: by bytes alone they would be put together in few tasks
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * blocks * packs)
+    d = d.select("id", "popcnt", "fp", part(blocks).alias("block"), every(packs).alias("pack")).repartition(n, "block", "pack")
+    q = q.select("id", "popcnt", "fp", part(packs).alias("pack"), every(blocks).alias("block")).repartition(n, "block", "pack")
+    kinds = dict(q.dtypes), dict(d.dtypes)
+    ddl = f"query_id {kinds[0]['id']}, id {kinds[1]['id']}, q_n {kinds[0]['popcnt']}, popcnt {kinds[1]['popcnt']}, common bigint"
+    schema = to_arrow_schema(spark.createDataFrame([], ddl).schema)
+    counts = q.groupBy("block", "pack").cogroup(d.groupBy("block", "pack")).applyInArrow(_meetings(schema), ddl)
+    return counts.select("query_id", "id", "common", B.tanimoto_counts(F.col("common"), F.col("q_n"), F.col("popcnt")).alias("score"))
 
 
 def distinct_fingerprints(db: DataFrame) -> DataFrame:

@@ -81,6 +81,18 @@ def test_many_queries(spark, db, sets, rows, monkeypatch):
     assert sparse == {(a, b): (len(q & s), brute.tanimoto(q, s)) for a, q in enumerate(qs) for b, s in enumerate(sets) if q & s}
 
 
+def test_inverted_index_has_no_row_for_a_meeting(spark, db, sets):
+    """Counts come out of blocks; repeated and null ids count together, as one row of all their bits."""
+    queries = table(spark, [set(sets[0]), set(sets[1])])
+    plan = K.sparse_matrix(db, queries, part_rows=50)._jdf.queryExecution().optimizedPlan().toString()
+    assert "on_bits" not in plan and "bit#" not in plan and "FlatMapCoGroups" in plan
+    rows = [(1, [3], 2), (1, [3], 2), (1, [5, None], 2), (None, [1], 1), (None, [1], 1), (2, [-1, 1], 65), (3, None, 0), (4, [0], 0)]
+    odd = spark.createDataFrame(rows, "id long, fp array<long>, popcnt int")
+    asked = spark.createDataFrame([(7, [1], 1), (7, [1], 1), (8, [0, 1], 1), (None, [1 << 62, 3], 3), (9, None, 0)], "id long, fp array<long>, popcnt int")
+    got = sorted(((r.query_id, r.id, r.common) for r in K.sparse_matrix(odd, asked, part_rows=2).collect()), key=repr)
+    assert got == sorted([(7, 1, 6), (7, None, 4), (7, 2, 2), (8, 2, 1), (None, 2, 2)], key=repr)
+
+
 def near_sets(universe, count, size):
     rng = random.Random(5)
     out = []
