@@ -24,11 +24,16 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import bits as B
 from ..functions.once import with_once
+from . import chunked
 from .blocked import threshold_pairs, topk_pairs
 from .scratch import written
 
 # a (bit, popcount) group is cut into blocks of about this many rows
 BLOCK_ROWS = 4_096
+# and so many blocks are a chunk, where rows are compared chunk by chunk
+CHUNK_BLOCKS = 24
+#: Comparisons of a chunk that cost as much as one joined pair.
+JOINED_PAIR = 100
 #: Places over which the rows of one crowded fingerprint are dealt.
 SALTS = 64
 
@@ -278,11 +283,6 @@ def sparse_matrix(db: DataFrame, queries: DataFrame, part_rows: int = BLOCK_ROWS
     return counts.select("query_id", "id", "common", B.tanimoto_counts(F.col("common"), F.col("q_n"), F.col("popcnt")).alias("score"))
 
 
-def distinct_fingerprints(db: DataFrame) -> DataFrame:
-    """One row per distinct fingerprint: smallest id and number of copies."""
-    return db.groupBy("fp", "popcnt").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-
-
 def _prefix_length(n: Column, threshold: float) -> Column:
     # a pair scoring t shares at least ceil(t * n) bits of either side, so the
     # n - ceil(t * n) + 1 rarest bits of both sides have one in common; one
@@ -338,15 +338,12 @@ def _sides(rows: DataFrame, sizes: DataFrame, block_rows: int) -> tuple[DataFram
     return a, b
 
 
-_PAIR_SCHEMA = "id_a bigint, id_b bigint, common int, na int, nb int, copies_a bigint, copies_b bigint"
-
-
 #: Words compared before the first rows are given up.
 FIRST_WORDS = 4
 
 
 def _block_hits(threshold: float):
-    """Hits of one block against another, a row of words at a time.
+    """Hits of one block against another, a row of words at a time, for rows that have met as cogroups.
 
     Sets of a and b bits that score t differ by (a + b)(1 - t) / (1 + t) bits
     at most.  Differing bits are counted a few words at a time, and a row that
@@ -404,47 +401,57 @@ def all_pairs(
     score, and how many rows carry each.  Copies are folded first, so a
     fingerprint shared by a third of all rows counts once here.
 
-    Only popcounts within the band of each other are compared.  For sparse
-    fingerprints candidates must also share one of their rarest bits (prefix
-    filter); for dense ones that would repeat most comparisons, so rows meet
-    on the popcount class alone.  The cheaper of the two is chosen from the
-    measured sizes of the meeting places; both are exact.
+    Only popcounts within the band of each other are compared.  Sparse
+    fingerprints may meet on one of their rarest bits (prefix filter), if that
+    makes far fewer pairs; all others are compared chunk by chunk
+    (:mod:`.chunked`), which needs no row more than once on disk.  The cheaper
+    of the two is chosen from the measured sizes of the meeting places; both
+    are exact.
     """
-    d = distinct_fingerprints(db.where("popcnt > 0"))
-    d = written(d.withColumn("cls", _popcount_class(F.col("popcnt"), threshold)), "fingerprints")
+    d = chunked.stored_fingerprints(db)
+    hits = _prefix_pairs(d, threshold, block_rows)
+    if hits is not None:
+        return hits
+    found = chunked.rounds(d, threshold, chunked.FoundPairs, chunked.PAIRS, chunk_rows=CHUNK_BLOCKS * block_rows)
+    return d.sparkSession.createDataFrame([], chunked.PAIRS) if found is None else found
+
+
+def _prefix_pairs(d: DataFrame, threshold: float, block_rows: int) -> DataFrame | None:
+    """The pairs of :func:`all_pairs` by the rarest bits, or nothing where that is dearer than all comparisons."""
+    d = d.withColumn("cls", _popcount_class(F.col("popcnt"), threshold))
+    keep = _prefix_length(F.col("popcnt"), threshold)
+    # one row per popcount class; pairs are fewest where the kept bits are spread evenly
+    classes = {r.cls: r for r in d.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.sum(keep).alias("kept"), F.max(F.size("fp")).alias("words")).collect()}
+    pairs = sum(c.n * (c.n / 2 + (classes[k + 1].n if k + 1 in classes else 0)) for k, c in classes.items())
+    if JOINED_PAIR * sum(c.kept**2 / (2 * 64 * c.words) for c in classes.values()) >= pairs:
+        return None
     rarity = d.select(F.explode(B.on_bits("fp")).alias("bit")).groupBy("bit").agg(F.count(F.lit(1)).alias("n"))
     # one entry per bit position: bounded by the fingerprint length
     by_rarity = rarity.agg(
         F.transform(F.array_sort(F.collect_list(F.struct("n", "bit"))), lambda s: s.bit)
     ).scalar()
-    keep = _prefix_length(F.col("popcnt"), threshold)
     prefix = F.slice(F.array_intersect(by_rarity, B.on_bits("fp")), F.lit(1), keep)
 
     def sizes_of(rows):
         # one row per bit and popcount class: bounded by the fingerprint length
         return rows.groupBy("bit", "cls").agg(F.count(F.lit(1)).alias("n"))
 
-    by_class = d.withColumn("bit", F.lit(-1))
     by_prefix = d.select("*", F.explode(prefix).alias("bit"))
-    class_sizes, prefix_sizes = sizes_of(by_class), sizes_of(by_prefix)
-    # a pair may meet at several bits, and hits must be made distinct again
-    use_prefix = 2 * _estimated_pairs(prefix_sizes) < _estimated_pairs(class_sizes)
-    if use_prefix:
-        a, b = _sides(by_prefix, prefix_sizes, block_rows)
-        lo, hi = band_columns(F.col("a.popcnt"), threshold)
-        met = a.alias("a").join(
-            b.alias("b").hint("shuffle_hash"),
-            [F.col(f"a.{c}") == F.col(f"b.{c}") for c in _PLACE]
-            + [(F.col("a.cls") < F.col("a.other")) | (F.col("a.id") < F.col("b.id")), F.col("b.popcnt").between(lo, hi)],
-        )
-        sides = met.select(
-            F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.col("a.popcnt").alias("na"), F.col("b.popcnt").alias("nb"),
-            F.col("a.copies").alias("copies_a"), F.col("b.copies").alias("copies_b"), F.col("a.fp").alias("fa"), F.col("b.fp").alias("fb"),
-        )
-        pairs = with_once(sides, "common", B.intersection("fa", "fb"))
-    else:
-        a, b = _sides(by_class, class_sizes, block_rows)
-        pairs = a.groupBy(*_PLACE).cogroup(b.groupBy(*_PLACE)).applyInArrow(_block_hits(threshold), _PAIR_SCHEMA)
+    prefix_sizes = sizes_of(by_prefix)
+    if JOINED_PAIR * _estimated_pairs(prefix_sizes) >= pairs:
+        return None
+    a, b = _sides(by_prefix, prefix_sizes, block_rows)
+    lo, hi = band_columns(F.col("a.popcnt"), threshold)
+    met = a.alias("a").join(
+        b.alias("b").hint("shuffle_hash"),
+        [F.col(f"a.{c}") == F.col(f"b.{c}") for c in _PLACE]
+        + [(F.col("a.cls") < F.col("a.other")) | (F.col("a.id") < F.col("b.id")), F.col("b.popcnt").between(lo, hi)],
+    )
+    sides = met.select(
+        F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.col("a.popcnt").alias("na"), F.col("b.popcnt").alias("nb"),
+        F.col("a.copies").alias("copies_a"), F.col("b.copies").alias("copies_b"), F.col("a.fp").alias("fa"), F.col("b.fp").alias("fb"),
+    )
+    pairs = with_once(sides, "common", B.intersection("fa", "fb"))
     score = B.tanimoto_counts(F.col("common"), F.col("na"), F.col("nb"))
     flip = F.col("id_a") > F.col("id_b")
     hits = pairs.select(
@@ -452,7 +459,22 @@ def all_pairs(
         F.when(flip, F.col("copies_b")).otherwise(F.col("copies_a")).alias("copies_a"),
         F.when(flip, F.col("copies_a")).otherwise(F.col("copies_b")).alias("copies_b"),
     ).where(F.col("score") >= threshold)
-    return hits.dropDuplicates(["id_a", "id_b"]) if use_prefix else hits
+    # a pair may meet at several bits
+    return hits.dropDuplicates(["id_a", "id_b"])
+
+
+def counted_fingerprints(db: DataFrame, threshold: float) -> DataFrame:
+    """(number, id, copies, fp, popcnt, neighbours) of the distinct fingerprints that have bits.
+
+    ``neighbours`` are the other rows, copies included, that score at least
+    ``threshold``.  They are counted where they are found; no pair is stored.
+    """
+    reps = chunked.stored_fingerprints(db)
+    found = chunked.rounds(reps, threshold, chunked.FoundCounts, chunked.COUNTS)
+    if found is None:
+        return reps.withColumn("neighbours", F.lit(0).cast("bigint"))
+    near = found.groupBy("number").agg(F.sum("n").alias("n"))
+    return reps.join(near, "number", "left").withColumn("neighbours", F.coalesce("n", F.lit(0)) + F.col("copies") - 1).drop("n")
 
 
 def neighbour_counts(db: DataFrame, threshold: float) -> DataFrame:
@@ -461,17 +483,8 @@ def neighbour_counts(db: DataFrame, threshold: float) -> DataFrame:
     Works on distinct fingerprints and multiplies by their copies, so the
     answer stays linear in the number of rows however many copies there are.
     """
-    pairs = all_pairs(db, threshold)
-    per_fp = (
-        pairs.select(F.col("id_a").alias("rep"), F.col("copies_b").alias("n"))
-        .unionByName(pairs.select(F.col("id_b").alias("rep"), F.col("copies_a").alias("n")))
-        .groupBy("rep")
-        .agg(F.sum("n").alias("n"))
-    )
-    reps = distinct_fingerprints(db.where("popcnt > 0")).withColumnRenamed("id", "rep")
-    totals = reps.join(per_fp, "rep", "left").select(
-        "fp", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("neighbours")
-    )
+    db = written(db.select("id", "fp", "popcnt"), "rows")
+    totals = counted_fingerprints(db, threshold).select("fp", "copies", "neighbours")
     return to_rows(db, written(totals, "neighbours")).select("id", F.coalesce("neighbours", F.lit(0)).alias("neighbours"))
 
 
